@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: Rows that Spark hands to a Python worker at once; texts may be long.
 ARROW_ROWS = 512
 
@@ -18,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small enough for long texts; a smaller setting of the user's stays."""
+    """Give the workers this package and keep Arrow batches small enough for long texts; a smaller setting stays."""
+    session.ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
@@ -88,9 +90,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def data_file(path: str) -> str:
-    if not os.path.exists(path):
-        raise FileNotFoundError(path)
-    return path

@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = {
     "op1_decontaminate": "op1_decontaminate",
+    "op3_suffix_dedup": "op3_suffix_dedup",
 }
 
 

@@ -28,9 +28,9 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session; local sessions import it in place."""
+    """Send this package to the Python workers, once a session."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_stratalog_shipped", False):
+    if getattr(sc, "_stratalog_shipped", False):
         return
     root = Path(__file__).resolve().parent
     target = os.path.join(tempfile.mkdtemp(), "stratalog.zip")

@@ -6,7 +6,9 @@ from importlib import import_module
 
 MODULES = {
     "op1_decontaminate": "op1_decontaminate",
+    "op2_sentencepiece": "op2_sentencepiece",
     "op3_suffix_dedup": "op3_suffix_dedup",
+    "op7_warc": "op7_warc",
 }
 
 

@@ -9,6 +9,7 @@ MODULES = {
     "op2_sentencepiece": "op2_sentencepiece",
     "op3_suffix_dedup": "op3_suffix_dedup",
     "op7_warc": "op7_warc",
+    "op9_minhash_dedup": "op9_dartminhash",
 }
 
 

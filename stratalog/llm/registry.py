@@ -8,7 +8,9 @@ MODULES = {
     "op1_decontaminate": "op1_decontaminate",
     "op2_sentencepiece": "op2_sentencepiece",
     "op3_suffix_dedup": "op3_suffix_dedup",
+    "op6_pii": "op6_pii",
     "op7_warc": "op7_warc",
+    "op8_toxicity": "op8_toxicity",
     "op9_minhash_dedup": "op9_dartminhash",
 }
 

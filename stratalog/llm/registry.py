@@ -12,6 +12,7 @@ MODULES = {
     "op7_warc": "op7_warc",
     "op8_toxicity": "op8_toxicity",
     "op9_minhash_dedup": "op9_dartminhash",
+    "op10_embedding_dedup": "op10_capfilters",
 }
 
 

@@ -8,6 +8,7 @@ MODULES = {
     "op1_decontaminate": "op1_decontaminate",
     "op2_sentencepiece": "op2_sentencepiece",
     "op3_suffix_dedup": "op3_suffix_dedup",
+    "op5_katz_score": "op5_katz",
     "op6_pii": "op6_pii",
     "op7_warc": "op7_warc",
     "op8_toxicity": "op8_toxicity",

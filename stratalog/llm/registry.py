@@ -8,6 +8,7 @@ MODULES = {
     "op1_decontaminate": "op1_decontaminate",
     "op2_sentencepiece": "op2_sentencepiece",
     "op3_suffix_dedup": "op3_suffix_dedup",
+    "op4_license_scan": "op4_licenses",
     "op5_katz_score": "op5_katz",
     "op6_pii": "op6_pii",
     "op7_warc": "op7_warc",

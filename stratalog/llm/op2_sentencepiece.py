@@ -22,6 +22,7 @@ not looked at, but those named in ``keep`` are passed on.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,7 @@ class Pieces(dict):
 
     def __init__(self, model: bytes):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         super().__init__()
         m = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -65,10 +67,23 @@ class Pieces(dict):
                 self.best[piece] = (round(m.get_score(i)), i)
         self.starts = {p[:n] for p in self.best for n in range(1, len(p) + 1)}
         self.longest = max(map(len, self.best))
-        self.unknown = min(s for s, _ in self.best.values() if s > -(10**8)) - 10
+        # runs of blanks have no score of their own in a BPE vocabulary: they take the least one
+        least = min(s for s, _ in self.best.values() if s > -(10**8))
+        self.best = {p: (max(s, least), i) for p, (s, i) in self.best.items()}
+        self.unknown = least - 10
         #: Whether every piece holds blanks at its start only, and no line ends or tabs beside others.
         self.parted = not any(BLANK in p.lstrip(BLANK) or len(p) > 1 and re.search("[\n\t]", p) for p in self.best)
         self.units = re.compile(" *[^ ▁\n\t]+| +|[▁\n\t]")
+        # the library's own search for the best path, for words: their sums of scores are below 2**24, so exact
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(model)
+        proto.trainer_spec.model_type = proto.trainer_spec.UNIGRAM
+        spec = proto.normalizer_spec
+        spec.name, spec.precompiled_charsmap = "identity", b""
+        spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
+        for piece in proto.pieces:
+            piece.score = max(piece.score, least)
+        self.fast = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
     def arcs(self, text: str, at: int) -> list[tuple[int, int, bytes]]:
         """The pieces that start there: end, score, ids. In text a blank is U+2581 and a literal U+2581 is a blank."""
@@ -123,6 +138,24 @@ class Pieces(dict):
             return self.path(swapped(" " + text))[1]
         return b"".join(map(self.__getitem__, self.units.findall(" " + text)))
 
+    def learn(self, units: set[str]) -> None:
+        """Put words into the memo together."""
+        new = [u for u in units - self.keys() if len(u) <= 48 and BLANK not in u]
+        if len(self) + len(new) > MEMO:
+            self.clear()
+        for u, ids in zip(new, self.fast.encode([u.replace(" ", BLANK) for u in new], num_threads=1)):
+            self[u] = array("H", ids).tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        if not self.parted:
+            return [self.encode(t) if t else b"" for t in texts]
+        out: list[bytes] = []
+        for s in range(0, len(texts), 128):
+            lists = [self.units.findall(" " + t) if t else [] for t in texts[s : s + 128]]
+            self.learn(set().union(*lists))
+            out += [b"".join(map(self.__getitem__, units)) for units in lists]
+        return out
+
     def decode(self, ids: bytes) -> str:
         out = b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u2").tolist()))
         return out[1:].decode("utf-8", "replace")
@@ -250,7 +283,7 @@ def encode_rows(shared, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(shared.value)
         for batch in batches:
-            ids = [p.encode(t) if t else b"" for t in batch.column(kept).to_pylist()]
+            ids = p.encode_all(batch.column(kept).to_pylist())
             names = batch.schema.names[:kept]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*names, "n_tokens", "ids"])
 
@@ -328,7 +361,9 @@ def traces(shared):
                 first, last = split_units(p, raw, body, entry == 0 and raw[:1] == " ")
                 if first < body and entry <= first:
                     head = p.trace(part[:first], first, entry, 0)
-                    middle = b"".join(map(p.__getitem__, p.units.findall(raw[first:last])))
+                    units = p.units.findall(raw[first:last])
+                    p.learn(set(units))
+                    middle = b"".join(map(p.__getitem__, units))
                     out.append(head + middle + p.trace(part[last:], body - last, 0, leave))
                 else:
                     out.append(p.trace(part, body, entry, leave))

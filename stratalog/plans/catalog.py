@@ -417,12 +417,12 @@ def _(spark, sf):
     return spatial.sector_range(w, (2000, 3000, 500), 300).select("entity", F.col("p.sx").alias("sx"), F.round("p.ox", 6).alias("ox"))
 
 
-RAY = "(x+1)*0.6+(y-0)*0.8+(z-0)*0.0"
+RAY = "(x+1)*1.0"
 
 
-@query("raycast_nearest", f"WITH {POS}, h AS (SELECT entity, {RAY} AS l, (x+1)*(x+1)+y*y+z*z - ({RAY})*({RAY}) AS off FROM pos) SELECT entity, round(l - sqrt(0.09 - off), 9) AS distance FROM h WHERE l >= 0 AND off <= 0.09 AND l - sqrt(0.09 - off) >= 0 ORDER BY l - sqrt(0.09 - off), entity LIMIT 1")
+@query("raycast_nearest", f"WITH {POS}, h AS (SELECT entity, {RAY} AS l, (x+1)*(x+1)+y*y+z*z - ({RAY})*({RAY}) AS off FROM pos) SELECT entity, round(l - sqrt(0.0025 - off), 9) AS distance FROM h WHERE l >= 0 AND off <= 0.0025 AND l - sqrt(0.0025 - off) >= 0 ORDER BY l - sqrt(0.0025 - off), entity LIMIT 1")
 def _(spark, sf):
-    hit = spatial.raycast(positions(spark, sf), (-1, 0, 0), (3, 4, 0), 0.3)
+    hit = spatial.raycast(positions(spark, sf), (-1, 0, 0), (2, 0, 0), 0.05)
     return hit.select("entity", F.round("distance", 9).alias("distance"))
 
 

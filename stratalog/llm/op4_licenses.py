@@ -132,7 +132,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     shares: list[list[tuple[str, str]]] = [[]]
     size = 0
     for name, text in TEMPLATES if templates is None else templates:
-        if size + len(text) > part_bytes and shares[-1]:
+        if size + len(text or "") > part_bytes and shares[-1]:
             shares.append([])
             size = 0
         shares[-1].append((name, text or ""))
@@ -144,12 +144,14 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     first = source.mapInArrow(look(spark, shares[0], shingle, contained), "__k1 long, __k2 long, " + RESULT)
     rest = None
     for share in shares[1:]:
-        own = source.mapInArrow(look(spark, share, shingle, contained), "__k1 long, __k2 long, " + RESULT).where(F.size("licenses") > 0).select("__k1", "__k2", F.col("licenses").alias("l"), F.col("matches").alias("m"))
+        own = source.mapInArrow(look(spark, share, shingle, contained), "__k1 long, __k2 long, " + RESULT).where(F.size("licenses") > 0).select("__k1", "__k2", F.col("matches").alias("m"))
         rest = own if rest is None else rest.unionAll(own)
     # repeated rows have one and the same result
-    rest = rest.groupBy("__k1", "__k2").agg(F.flatten(F.collect_set("l")).alias("l"), F.flatten(F.collect_set("m")).alias("m"))
-    joined = first.join(rest, ["__k1", "__k2"], "left")
-    return joined.select("doc_id", "n_words", F.array_sort(F.array_distinct(F.when(F.col("l").isNull(), F.col("licenses")).otherwise(F.concat("licenses", "l")))).alias("licenses"), F.when(F.col("m").isNull(), F.col("matches")).otherwise(F.concat("matches", "m")).alias("matches"))
+    rest = rest.groupBy("__k1", "__k2").agg(F.flatten(F.collect_set("m")).alias("m"))
+    joined = first.join(rest, ["__k1", "__k2"], "left").withColumn("all", F.when(F.col("m").isNull(), F.col("matches")).otherwise(F.concat("matches", "m")))
+    fuller = lambda m: F.exists("all", lambda x: (x["contained"] > m["contained"]) & (x["first"] <= m["last"]) & (m["first"] <= x["last"]))
+    kept = joined.withColumn("matches", F.filter("all", lambda m: ~fuller(m)))
+    return kept.select("doc_id", "n_words", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))).alias("licenses"), "matches")
 
 
 def look(spark: SparkSession, templates: list[tuple[str, str]], shingle: int, contained: float):

@@ -70,15 +70,16 @@ def split(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of a compressed stream, one record in memory."""
     left, done = b"", False
     while True:
-        z, head, rest, want, headers = zlib.decompressobj(31), bytearray(), bytearray(), -1, {}
+        z, head, rest, want, headers, begun = zlib.decompressobj(31), bytearray(), bytearray(), -1, {}, False
         while not z.eof:
             if not left and not done:
                 left = stream.read(PIECE)
                 done = not left
             if not left:
-                if head or z.unconsumed_tail:
+                if begun:
                     raise Damaged("the archive ends within a member")
                 return
+            begun = True
             out = z.decompress(left)
             left = z.unused_data if z.eof else z.unconsumed_tail
             if want < 0:

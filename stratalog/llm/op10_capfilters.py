@@ -40,11 +40,11 @@ SEED = 71
 
 
 class Code:
-    """A product code for vectors of d coordinates."""
+    """A product code for vectors of d coordinates; of one part where two would have fewer than eight each."""
 
     def __init__(self, d: int, listed: int):
         rng = np.random.Generator(np.random.PCG64(SEED))
-        self.parts, self.words, self.listed = np.array_split(np.arange(d), min(PARTS, d)), [], listed
+        self.parts, self.words, self.listed = np.array_split(np.arange(d), min(PARTS, max(1, d // 8))), [], listed
         for part in self.parts:
             words = rng.standard_normal((CODES, len(part)))
             self.words.append(words / np.linalg.norm(words, axis=1, keepdims=True))

@@ -51,7 +51,7 @@ def pack(start: np.ndarray, windows: np.ndarray, distance: np.ndarray) -> np.nda
 def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of texts in one block, by anchor: text, first window, windows, anchor's distance, anchor hash, context hash."""
     parts = []
-    if len(off) == 2 and len(data) > SEGMENT:
+    if len(off) == 2 and len(data) > SEGMENT + length:
         for s in range(0, len(data) - length + 1, SEGMENT):
             part = data[s : s + SEGMENT + length - 1]
             found = anchors(part, np.array([0, len(part)]), length, gram)

@@ -8,8 +8,9 @@ start mark and ends with an end, which is a token.
 1. Texts are cut to words and written as chunks of local word numbers.
 2. Chunks send their words with counts to buckets by hash; a bucket adds up and answers each chunk. Answers are a table
    partitioned by the scan partition that the chunk came from.
-3. Chunks send their pairs likewise, to buckets by the pair's first word. A bucket holds the merged counts of its words'
-   pairs, and answers with each pair's count and, by first word, what a(h) needs.
+3. Chunks send their pairs likewise, to buckets by the pair's first word, but for pairs whose first word is in no
+   other chunk's texts, or in no training text: these are known in place. A bucket holds the merged counts of its words' pairs, and
+   answers with each pair's count and, by first word, what a(h) needs.
 4. Each chunk reads its answers and evaluates its texts token by token: pair, else backoff to the word, else unknown.
 
 Pairs of a chunk are counted before they are sent. A word with more than ``SALTED`` occurrences has its pairs spread
@@ -34,9 +35,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .texts import SOLID, U, Words, blocks, mixed
+from .texts import BLOCK, SOLID, U, Words, blocks, mixed
 
-CHUNK = 4 << 20
+CHUNK = 12 << 20
 K = 5
 SALTED = 1_000_000
 #: Words or pairs in a bucket, all chunks' together.
@@ -55,6 +56,17 @@ def unpacked(raw: bytes, dtype, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw, size, "zstd", asbytes=True), dtype) if n else np.zeros(0, dtype)
 
 
+def planes(a: np.ndarray, n: int) -> bytes:
+    """Numbers as n byte planes, lowest first, which compress better than the numbers in a row."""
+    return packed(a.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :n].T)
+
+
+def unplaned(raw: bytes, n: int, size: int) -> np.ndarray:
+    out = np.zeros((size, 8), np.uint8)
+    out[:, :n] = unpacked(raw, np.uint8, n * size).reshape(n, size).T
+    return out.view(np.uint64).ravel()
+
+
 def encode(size: int):
     """(doc_id, held, text) to chunks."""
 
@@ -65,17 +77,22 @@ def encode(size: int):
 
         def chunk() -> pa.RecordBatch:
             nonlocal number
-            vocab, tokens = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True)
+            vocab, tokens, often = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True, return_counts=True)
+            # frequent words get small numbers
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            vocab, tokens = vocab[order], rank[tokens]
             lengths = np.concatenate([h[2] for h in held])
             ids, flags = [i for h in held for i in h[0]], [f for h in held for f in h[1]]
-            row = [[part], [number], [ids], [flags], [packed(lengths.astype(np.int32))], [vocab.tobytes()], [packed(tokens.astype(np.int32))], [len(vocab)], [len(tokens)]]
+            row = [[part], [number], [ids], [flags], [packed(lengths.astype(np.int32))], [vocab.tobytes()], [planes(tokens, 4)], [len(vocab)], [len(tokens)]]
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
             number += 1
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], ["part", "chunk", "ids", "held", "lengths", "vocab", "tokens", "n_vocab", "n_tokens"])
 
         for batch in batches:
             ids, flags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j, data, off in blocks(batch.column(2)):
+            for i, j, data, off in blocks(batch.column(2), min(size, BLOCK)):
                 if total + len(data) > size and held:
                     yield chunk()
                     held, total = [], 0
@@ -95,7 +112,7 @@ class Chunk:
     def __init__(self, row: dict):
         self.part, self.chunk, self.ids = row["part"], row["chunk"], row["ids"]
         self.vocab = np.frombuffer(row["vocab"], np.uint64)
-        self.tokens = unpacked(row["tokens"], np.int32, row["n_tokens"]).astype(np.int64)
+        self.tokens = unplaned(row["tokens"], 4, row["n_tokens"]).astype(np.int32)
         self.lengths = unpacked(row["lengths"], np.int32, len(self.ids)).astype(np.int64)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.held = np.array(row["held"], bool)
@@ -104,11 +121,20 @@ class Chunk:
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs as places in vocab (the start mark's is its length), each token's pair, training counts."""
         n = len(self.vocab)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.first] = n
-        pair, at = np.unique(before * (n + 1) + self.tokens, return_inverse=True)
-        return pair // (n + 1), pair % (n + 1), at, np.bincount(at, self.trained, len(pair)).astype(np.int64)
+        pair = np.empty(len(self.tokens), np.int64)
+        pair[1:] = self.tokens[:-1]
+        pair[self.first] = n
+        pair *= n + 1
+        pair += self.tokens
+        order = np.argsort(pair, kind="stable").astype(np.int32)
+        pair = pair[order]
+        new = np.r_[True, pair[1:] != pair[:-1]] if len(pair) else np.zeros(0, bool)
+        at = np.empty(len(pair), np.int32)
+        at[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
+        pair = pair[new]
+        counts = np.bincount(at[self.trained], minlength=len(pair)).astype(np.int32)
+        return (pair // (n + 1)).astype(np.int32), (pair % (n + 1)).astype(np.int32), at, counts
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -142,7 +168,7 @@ WORD_ANSWER, WORD_ANSWER_KINDS = "bucket part chunk n counts seen", [I32, I32, I
 def ask_words(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
-            counts = np.bincount(c.tokens, c.trained, len(c.vocab)).astype(np.int64)
+            counts = np.bincount(c.tokens[c.trained], minlength=len(c.vocab)).astype(np.int64)
             order, bucket = word_order(c.vocab, n)
             yield batch_of([(b, c.part, c.chunk, e - s, c.vocab[order[s:e]].tobytes(), packed(counts[order[s:e]])) for b, s, e in slices(bucket)], WORDS, WORD_KINDS)
 
@@ -160,9 +186,10 @@ def answer_words(table: pa.Table) -> pa.Table:
     local = np.concatenate([unpacked(r["counts"], np.int64, r["n"]) for r in rows])
     names, at = np.unique(words, return_inverse=True)
     counts = np.bincount(at, local, len(names)).astype(np.int64)
+    told = 2 * counts + (np.bincount(at, minlength=len(names)) == 1)  # and whether no other chunk has the word
     out, s = [(rows[0]["bucket"], -1, -1, 0, b"", histogram(counts).tobytes())], 0
     for r in rows:
-        out.append((r["bucket"], r["part"], r["chunk"], r["n"], packed(counts[at[s : s + r["n"]]]), b""))
+        out.append((r["bucket"], r["part"], r["chunk"], r["n"], packed(told[at[s : s + r["n"]]]), b""))
         s += r["n"]
     return pa.Table.from_batches([batch_of(out, WORD_ANSWER, WORD_ANSWER_KINDS)])
 
@@ -183,11 +210,12 @@ class Answers:
         return sorted((r for r in self.rows if r["chunk"] == chunk), key=lambda r: r["bucket"])
 
 
-def word_counts(c: Chunk, answers: list[dict], n: int) -> np.ndarray:
+def word_counts(c: Chunk, answers: list[dict], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The training counts of a chunk's words, and which are in no other chunk."""
     order, _ = word_order(c.vocab, n)
     out = np.empty(len(c.vocab), np.int64)
     out[order] = np.concatenate([unpacked(r["counts"], np.int64, r["n"]) for r in answers])
-    return out
+    return out >> 1, (out & 1).astype(bool)
 
 
 class Discount:
@@ -232,29 +260,50 @@ PAIRS, PAIR_KINDS = "bucket part chunk n n_first firsts sizes seconds counts wor
 PAIR_ANSWER, PAIR_ANSWER_KINDS = "bucket part chunk n n_first counts few many mass", [I32, I32, I32, I32, I32, BIN, BIN, BIN, BIN]
 
 
-def pair_order(c: Chunk, counts: np.ndarray, ends: int, n: int):
-    """Pairs in order of bucket and first word: first, second, order, bucket in that order, starts of first words."""
-    first, second, at, local = c.pairs()
-    hashes = np.r_[c.vocab, U(START)]
-    often = np.r_[counts, ends]
-    salt = mixed(hashes[second]) % (often[first] // SALTED + 1).astype(np.uint64)
-    bucket = (mixed(hashes[first] + salt * U(0x9E3779B97F4A7C15)) % U(n)).astype(np.int64)
-    order = np.lexsort((first, bucket))
-    return first, second, at, local, hashes, order, bucket[order]
-
-
-def ask_pairs(where: str, n_words: int, n_pairs: int, ends: int):
+class Pairs:
+    """A chunk's distinct pairs; which are sent to a bucket, in order of bucket and first word, and which are known."""
+
+    def __init__(self, c: Chunk, counts: np.ndarray, sole: np.ndarray, ends: int, n: int, salted: int):
+        self.first, self.second, self.at, self.local = c.pairs()
+        self.hashes = np.r_[c.vocab, U(START)]
+        often = np.r_[counts, ends]
+        self.known = (np.r_[sole, False] | (often == 0))[self.first]
+        parts = often // salted + 1
+        place = lambda first, salt: (mixed(self.hashes[first] + salt.astype(np.uint64) * U(0x9E3779B97F4A7C15)) % U(n)).astype(np.int64)
+        sent = np.flatnonzero(~self.known)
+        first = self.first[sent]
+        bucket = place(first, mixed(self.hashes[self.second[sent]]) % parts[first].astype(np.uint64))
+        order = np.lexsort((self.hashes[self.second[sent]] & W48, first, bucket))
+        self.order, keys = sent[order].astype(np.int32), (bucket * len(often) + first)[order]
+        # a first word asks all buckets that its pairs may be in, with pairs there or not
+        who = np.unique(first)
+        asked = np.repeat(who, parts[who])
+        salt = np.arange(len(asked)) - np.repeat(np.cumsum(parts[who]) - parts[who], parts[who])
+        entry = np.unique(place(asked, salt) * len(often) + asked)
+        self.who, self.size = (entry % len(often)).astype(np.int32), np.bincount(np.searchsorted(entry, keys), minlength=len(entry))
+        self.place = entry // len(often)
+
+    def buckets(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Bucket, first words, numbers of pairs of each, pairs."""
+        upto = np.r_[0, np.cumsum(self.size)]
+        for b, s, e in slices(self.place):
+            yield b, self.who[s:e], self.size[s:e], self.order[upto[s] : upto[e]]
+
+
+def ask_pairs(where: str, n_words: int, n_pairs: int, ends: int, salted: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers = Answers(where)
         for c in chunks(batches):
-            counts = word_counts(c, answers.of(c.part, c.chunk), n_words)
-            first, second, _, local, hashes, order, bucket = pair_order(c, counts, ends, n_pairs)
-            rows = []
-            for b, s, e in slices(bucket):
-                own = order[s:e]
-                _, firsts, sizes = zip(*((v, x, y - x) for v, x, y in slices(first[own])))
-                w = (hashes[second[own]] & W48).view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append((b, c.part, c.chunk, e - s, len(sizes), hashes[first[own[list(firsts)]]].tobytes(), packed(np.array(sizes, np.int32)), w.tobytes(), packed(local[own].astype(np.int32)), packed(counts[second[own]].astype(np.uint32).view(np.uint8).reshape(-1, 4).T)))
+            counts, sole = word_counts(c, answers.of(c.part, c.chunk), n_words)
+            p = Pairs(c, counts, sole, ends, n_pairs, salted)
+            # what is known in place still counts among the counts of counts
+            rows = [((c.part + c.chunk) % n_pairs, c.part, c.chunk, 0, -1, b"", b"", b"", histogram(p.local[p.known]).tobytes(), b"")]
+            for b, who, sizes, own in p.buckets():
+                w = p.hashes[p.second[own]] & W48
+                step = np.r_[w[:1], w[1:] - w[:-1]]
+                starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+                step[starts] = w[starts]  # second words rise within a first one: steps are small
+                rows.append((b, c.part, c.chunk, len(own), len(who), p.hashes[who].tobytes(), packed(sizes.astype(np.int32)), planes(step, 6), planes(p.local[own], 4), planes(counts[p.second[own]], 4)))
                 if len(rows) >= 64:
                     yield batch_of(rows, PAIRS, PAIR_KINDS)
                     rows = []
@@ -263,29 +312,41 @@ def ask_pairs(where: str, n_words: int, n_pairs: int, ends: int):
     return run
 
 
+def risen(step: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums within runs of the given sizes."""
+    sizes = sizes[sizes > 0]
+    total = np.cumsum(step)
+    start = np.cumsum(sizes) - sizes
+    return total - np.repeat(total[start] - step[start], sizes)
+
+
 def answer_pairs(stats: bytes):
     def run(table: pa.Table) -> pa.Table:
         unigram = Unigram(np.frombuffer(stats, np.int64))
         rows = sorted(table.to_pylist(), key=lambda r: (r["part"], r["chunk"]))
+        bucket = rows[0]["bucket"]
+        placed = np.sum([np.frombuffer(r["counts"], np.int64) for r in rows if r["n_first"] < 0], axis=0) if any(r["n_first"] < 0 for r in rows) else np.zeros(K + 3, np.int64)
+        rows = [r for r in rows if r["n_first"] >= 0]
+        if not rows:
+            return pa.Table.from_batches([batch_of([(bucket, -1, -1, 0, 0, placed.tobytes(), b"", b"", b"")], PAIR_ANSWER, PAIR_ANSWER_KINDS)])
         first = np.concatenate([np.frombuffer(r["firsts"], np.uint64) for r in rows])
         size = np.concatenate([unpacked(r["sizes"], np.int32, r["n_first"]) for r in rows])
-        second = np.zeros((sum(r["n"] for r in rows), 8), np.uint8)
-        second[:, :6] = np.concatenate([np.frombuffer(r["seconds"], np.uint8).reshape(-1, 6) for r in rows])
-        local = np.concatenate([unpacked(r["counts"], np.int32, r["n"]) for r in rows])
-        word = np.concatenate([np.ascontiguousarray(unpacked(r["words"], np.uint8, 4 * r["n"]).reshape(4, -1).T).view(np.uint32).ravel() for r in rows])
+        second = np.concatenate([risen(unplaned(r["seconds"], 6, r["n"]), unpacked(r["sizes"], np.int32, r["n_first"])) for r in rows])
+        local = np.concatenate([unplaned(r["counts"], 4, r["n"]) for r in rows]).astype(np.int64)
+        word = np.concatenate([unplaned(r["words"], 4, r["n"]) for r in rows]).astype(np.int64)
         names, name = np.unique(first, return_inverse=True)
         owner = np.repeat(name, size)
-        _, at, pair = np.unique(mixed(np.repeat(first, size)) + mixed(second.view(np.uint64).ravel()), return_index=True, return_inverse=True)
+        _, at, pair = np.unique(mixed(np.repeat(first, size)) + mixed(second), return_index=True, return_inverse=True)
         counts = np.bincount(pair, local, len(at)).astype(np.int64)
         seen = counts > 0
         who, often = owner[at[seen]], counts[seen]
-        mass = np.bincount(who, unigram.p(word[at[seen]].astype(np.int64)), len(names))
+        mass = np.bincount(who, unigram.p(word[at[seen]]), len(names))
         few = np.stack([np.bincount(who[often == r], minlength=len(names)) for r in range(1, K + 1)])
         many = np.bincount(who, np.where(often > K, often, 0), len(names)).astype(np.int64)
-        out, s, t = [(rows[0]["bucket"], -1, -1, 0, 0, histogram(counts).tobytes(), b"", b"", b"")], 0, 0
+        out, s, t = [(bucket, -1, -1, 0, 0, (placed + histogram(counts)).tobytes(), b"", b"", b"")], 0, 0
         for r in rows:
             own = name[t : t + r["n_first"]]
-            out.append((r["bucket"], r["part"], r["chunk"], r["n"], r["n_first"], packed(counts[pair[s : s + r["n"]]].astype(np.int32)), packed(few[:, own].astype(np.int32)), packed(many[own]), packed(mass[own])))
+            out.append((r["bucket"], r["part"], r["chunk"], r["n"], r["n_first"], planes(counts[pair[s : s + r["n"]]], 4), packed(few[:, own].astype(np.int32)), packed(many[own]), packed(mass[own])))
             s, t = s + r["n"], t + r["n_first"]
         return pa.Table.from_batches([batch_of(out, PAIR_ANSWER, PAIR_ANSWER_KINDS)])
 
@@ -295,21 +356,24 @@ def answer_pairs(stats: bytes):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def evaluate(words_at: str, pairs_at: str, n_words: int, n_pairs: int, ends: int, word_stats: bytes, pair_stats: bytes):
+def evaluate(words_at: str, pairs_at: str, n_words: int, n_pairs: int, ends: int, salted: int, word_stats: bytes, pair_stats: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_answers, pair_answers = Answers(words_at), Answers(pairs_at)
         unigram, discount = Unigram(np.frombuffer(word_stats, np.int64)), Discount(np.frombuffer(pair_stats, np.int64))
         for c in chunks(batches):
-            counts = word_counts(c, word_answers.of(c.part, c.chunk), n_words)
-            first, second, at, _, _, order, bucket = pair_order(c, counts, ends, n_pairs)
-            n = len(c.vocab) + 1
-            seen = np.zeros(len(first), np.int64)
-            few, many, mass = np.zeros((K, n), np.int64), np.zeros(n, np.int64), np.zeros(n)
+            counts, sole = word_counts(c, word_answers.of(c.part, c.chunk), n_words)
+            p = Pairs(c, counts, sole, ends, n_pairs, salted)
+            first, n = p.first, len(c.vocab) + 1
+            p_word = unigram.p(np.r_[counts, 0])
+            # of first words known in place; the others' part is added by the buckets
+            seen, own = np.where(p.known, p.local, 0), p.known & (p.local > 0)
+            few = np.stack([np.bincount(first[own & (seen == r)], minlength=n) for r in range(1, K + 1)])
+            many = np.bincount(first, np.where(seen > K, seen, 0), n).astype(np.int64)
+            mass = np.bincount(first[own], p_word[p.second[own]], n).astype(float)
             answers = {r["bucket"]: r for r in pair_answers.of(c.part, c.chunk)}
-            for b, s, e in slices(bucket):
-                r, own = answers[b], order[s:e]
-                seen[own] = unpacked(r["counts"], np.int32, r["n"])
-                who = first[own][[x for _, x, _ in slices(first[own])]]
+            for b, who, _, own in p.buckets():
+                r = answers[b]
+                seen[own] = unplaned(r["counts"], 4, r["n"])
                 few[:, who] += unpacked(r["few"], np.int32, K * r["n_first"]).reshape(K, -1)
                 many[who] += unpacked(r["many"], np.int64, r["n_first"])
                 mass[who] += unpacked(r["mass"], np.float64, r["n_first"])
@@ -319,12 +383,11 @@ def evaluate(words_at: str, pairs_at: str, n_words: int, n_pairs: int, ends: int
             size = np.where(kept < total, total, total + 1)  # without discounts one more occurrence stands for the unseen
             with np.errstate(divide="ignore", invalid="ignore"):
                 back = np.where(total > 0, (1 - kept / size) / (1 - mass), 1.0)
-                p_word = unigram.p(np.r_[counts, 0])
-                p = np.where(seen > 0, discount.of(seen) / size[first], back[first] * p_word[second])
-            logs = np.log10(np.maximum(p, 1e-300))
+                chance = np.where(seen > 0, discount.of(seen) / size[first], back[first] * p_word[p.second])
+            logs = np.log10(np.maximum(chance, 1e-300))
             base = np.log10((counts + 1) / (unigram.n + unigram.types + 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c.ids, pa.int64()), pa.array(c.held), pa.array(c.lengths), pa.array(np.add.reduceat((counts > 0)[c.tokens].astype(np.int64), c.first)), pa.array(np.full(len(c.ids), unigram.n)), pa.array(np.add.reduceat(base[c.tokens], c.first)), pa.array(np.add.reduceat(logs[at], c.first))],
+                [pa.array(c.ids, pa.int64()), pa.array(c.held), pa.array(c.lengths), pa.array(np.add.reduceat((counts > 0)[c.tokens].astype(np.int64), c.first)), pa.array(np.full(len(c.ids), unigram.n)), pa.array(np.add.reduceat(base[c.tokens], c.first)), pa.array(np.add.reduceat(logs[p.at], c.first))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
@@ -359,7 +422,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
-def scores(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
+def scores(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, bucket: int = BUCKET, salted: int = SALTED) -> DataFrame:
     """Per row of docs the columns of SCORES; rows for which held is true aren't learnt from."""
     spark = common.tuned(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
@@ -372,9 +435,9 @@ def scores(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_col: s
         asked = coded.mapInArrow(ask_words(n_words), fields(WORDS, WORD_KINDS))
         words_at, word_stats, _ = partitioned(asked.groupBy("bucket").applyInArrow(answer_words, fields(WORD_ANSWER, WORD_ANSWER_KINDS)), "op5-words")
         ends = source.where(~F.col("held")).count()
-        asked = coded.mapInArrow(ask_pairs(words_at, n_words, n_pairs, ends), fields(PAIRS, PAIR_KINDS))
+        asked = coded.mapInArrow(ask_pairs(words_at, n_words, n_pairs, ends, salted), fields(PAIRS, PAIR_KINDS))
         pairs_at, pair_stats, _ = partitioned(asked.groupBy("bucket").applyInArrow(answer_pairs(word_stats.tobytes()), fields(PAIR_ANSWER, PAIR_ANSWER_KINDS)), "op5-pairs")
-        return common.written(coded.mapInArrow(evaluate(words_at, pairs_at, n_words, n_pairs, ends, word_stats.tobytes(), pair_stats.tobytes()), SCORES), "op5-scores")
+        return common.written(coded.mapInArrow(evaluate(words_at, pairs_at, n_words, n_pairs, ends, salted, word_stats.tobytes(), pair_stats.tobytes()), SCORES), "op5-scores")
     finally:
         spark.conf.set(key, old)
 

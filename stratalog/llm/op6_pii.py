@@ -5,11 +5,17 @@ quantifiers); a match's place follows from the lengths of the pieces between mat
 that pass their checks (octets, Luhn, digit counts) are personal data in any case. The other matches, and those of
 further generators (phones without a plus, spelled-out addresses, long keys), are candidates.
 
-The trees are fitted to tell base matches by what stands in and around a span, leaving out what the checks themselves
-look at. Features have few values each, so all candidates of the corpus are counted by feature vector, and at most
-``VECTORS`` counts, a bound set by the features' ranges, come to the driver; half of the documents fit the trees, the
-other half sets for each kind the least score above which ``PRECISION`` of its candidates are base matches. Candidates
-that reach it are added unless they overlap base spans; of overlapping ones the best scored stays.
+The trees are fitted to labels that come from a value's own check, whichever generator found it: base matches; phones
+without a plus whose area and exchange codes may be dialled; spelled-out addresses of a common top-level domain with a
+cue word, brackets or a local part that is no plain word; keys after a cue word that mix letters and digits at
+``ENTROPY`` bits a character. What a label looks at is withheld from the features of its generator (``WITHHELD``), so
+the trees go by what else stands in and around a span. Candidates that overlap base spans can't be added, and pieces of
+personal data are no negatives: they neither fit nor calibrate.
+
+Features have few values each, so all candidates of the corpus are counted by feature vector, and at most ``VECTORS``
+counts, a bound set by the features' ranges, come to the driver; half of the documents fit the trees, the other half
+sets for each generator the least score above which ``PRECISION`` of at least ``LEAST`` candidates have the label.
+Candidates that reach it are added unless they overlap base spans; of overlapping ones the best scored stays.
 
 A match moves without its text, so shuffles are small; a document's matches are bounded by its length. Null and empty
 texts have no spans. Repeated rows have the spans of one. Only the named columns are looked at.
@@ -39,6 +45,9 @@ GENERATORS = {
 }
 #: Words before a span that speak of personal data.
 CUES = r"(?i)(?:tel|phone|call|fax|mobile|mail|contact|card|visa|account|ip|host|address|token|key|password|secret)[a-z]{0,3}[ :=\"'#]{0,4}$"
+#: Features that a generator's label looks at.
+WITHHELD = {"spelled_email": ("digits", "cue", "marks"), "secret": ("digits", "cue")}
+ENTROPY = 3.0
 VECTORS = 20_000
 ROUNDS, RATE = 40, 0.3
 PRECISION = 0.9
@@ -60,6 +69,25 @@ def base_ok(kind: Column, hit: Column) -> Column:
     return F.when(kind == "email", True).when(kind == "ip", octets).when(kind == "card", F.when(n.between(16, 19), luhn(digits)).otherwise(False)).when(kind == "phone", n.between(8, 15)).otherwise(False)
 
 
+def entropy(hit: Column) -> Column:
+    """Bits a character."""
+    n = F.char_length(hit)
+    share = lambda c: (n - F.char_length(F.replace(hit, c))) / n
+    return F.aggregate(F.array_remove(F.array_distinct(F.split(hit, "")), ""), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
+
+
+def labelled(gen: Column, base: Column, hit: Column, before: Column) -> Column:
+    """Whether a match has its kind's label; a look at the value and the cue before it, not at the generator's form."""
+    number = {name: i for i, name in enumerate(GENERATORS)}
+    cue = before.rlike(CUES)
+    code = "[2-9](?!11)[0-9]{2}"
+    phone = F.regexp_replace(hit, "[^0-9]", "").rlike(f"^{code}{code}[0-9]{{4}}$")
+    domain = hit.rlike(r"(?i)[ )\]](?:com|org|net|edu|gov|mil|info|biz|dev|app|io|eu|de|fr|es|it|nl|uk|us|ca|ch|se|pl|jp|cn|br|au)$")
+    address = domain & (cue | hit.rlike(r"(?i)^[a-z]*+[0-9._-]|[(\[]at[)\]]"))
+    key = cue & hit.rlike("[0-9]") & hit.rlike("[A-Za-z]") & (entropy(hit) >= ENTROPY)
+    return F.when(gen == number["bare_phone"], phone).when(gen == number["spelled_email"], address).when(gen == number["secret"], key).otherwise(base)
+
+
 #: Features and how many values each has; none repeats a check.
 FEATURES = {"gen": 7, "size": 6, "digits": 5, "cue": 2, "before": 4, "after": 4, "marks": 3}
 
@@ -69,12 +97,13 @@ def features(gen: Column, hit: Column, before: Column, after: Column) -> Column:
     steps = lambda x, *cuts: sum(((x >= c).cast("int") for c in cuts), F.lit(0))
     side = lambda x: F.when(x == "", 0).when(x.rlike("[A-Za-z0-9\u0080-￿]"), 1).when(x.rlike(r"\s"), 2).otherwise(3)
     marks = F.char_length(F.regexp_replace(hit, "[A-Za-z0-9]", ""))
+    hidden = lambda k: gen.isin([i for i, name in enumerate(GENERATORS) if k in WITHHELD.get(name, ())])
     values = {"gen": gen, "size": steps(n, 8, 12, 16, 20, 32), "digits": steps(digits, 1, 8, 13, 17), "cue": before.rlike(CUES).cast("int"), "before": side(F.right(before, F.lit(1))), "after": side(after), "marks": steps(marks, 1, 4)}
-    return F.struct(*(values[k].cast("int").alias(k) for k in FEATURES))
+    return F.struct(*(F.when(hidden(k), 0).otherwise(values[k].cast("int")).alias(k) if any(k in w for w in WITHHELD.values()) else values[k].cast("int").alias(k) for k in FEATURES))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """docs (k1, k2, text) to one row a match: k1, k2, kind, start, end, base, f."""
+    """docs (k1, k2, text) to one row a match: k1, k2, kind, start, end, base, label, f, and whether it is free of (other) base spans."""
     names = list(GENERATORS)
     lists = []
     for i, name in enumerate(names):
@@ -87,12 +116,19 @@ def candidates(docs: DataFrame) -> DataFrame:
     flat = rows.select("k1", "k2", "row", "g.gen", "g.kind", "g.strict", F.posexplode(zipped).alias("at", "m"))
     upto = F.sum(F.col("m.n") + F.col("m.gap")).over(Window.partitionBy("k1", "k2", "row", "gen").orderBy("at"))
     placed = flat.withColumn("end", upto).withColumn("start", F.col("end") - F.col("m.n"))
-    found = placed.select("k1", "k2", "row", "kind", "start", "end", (F.col("strict") & base_ok(F.col("kind"), F.col("m.hit"))).alias("base"), features(F.col("gen"), F.col("m.hit"), F.col("m.before"), F.col("m.after")).alias("f"))
+    placed = placed.withColumn("base", F.col("strict") & base_ok(F.col("kind"), F.col("m.hit")))
+    label = labelled(F.col("gen"), F.col("base"), F.col("m.hit"), F.col("m.before"))
+    found = placed.select("k1", "k2", "row", "kind", "start", "end", "base", label.alias("label"), features(F.col("gen"), F.col("m.hit"), F.col("m.before"), F.col("m.after")).alias("f"))
     digits = F.col("f.digits")
     # a run of few digits is no candidate for a card
     found = found.where(F.col("base") | (F.col("kind") != "card") | (digits >= 3))
     # equal rows have equal matches: one of each stays
-    return found.groupBy("k1", "k2", "kind", "start", "end").agg(F.max("base").alias("base"), F.max("f").alias("f"))
+    found = found.groupBy("k1", "k2", "kind", "start", "end").agg(F.max("base").alias("base"), F.max("label").alias("label"), F.max("f").alias("f"))
+    order = Window.partitionBy("k1", "k2").orderBy("start")
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    following = F.min(F.when(F.col("base"), F.col("start"))).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    overlaps = F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(following < F.col("end"), F.lit(False))
+    return found.withColumn("free", F.col("base") | ~overlaps)
 
 
 class Trees:
@@ -146,20 +182,20 @@ class Trees:
         return F.expr(" + ".join([f"{self.start!r}D", *map(expr, self.trees)]))
 
 
-def model(found: DataFrame) -> tuple[Trees, dict[str, float]]:
-    """Trees and each kind's threshold, from all candidates counted by vector, half of the documents for each."""
+def model(found: DataFrame) -> tuple[Trees, dict[int, float]]:
+    """Trees and each generator's threshold, from all free candidates counted by vector, half of the documents for each."""
     half = F.pmod(F.xxhash64("k1", "k2"), F.lit(2)).alias("half")
-    counts = found.groupBy(half, "kind", "f").agg(F.count("*").alias("n"), F.sum(F.col("base").cast("long")).alias("good"))
-    rows = [(r.half, r.kind, tuple(r.f), r.n, r.good) for r in counts.orderBy("half", "kind", "f").limit(VECTORS * 2 * len(KINDS)).collect()]
+    counts = found.where("free").groupBy(half, "f").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("good"))
+    rows = [(r.half, r.f.gen, tuple(r.f), r.n, r.good) for r in counts.orderBy("half", "f").limit(VECTORS * 2 * len(KINDS)).collect()]
     trees = Trees([(r[2], r[3], r[4]) for r in rows if r[0] == 0])
     thresholds = {}
-    for kind in KINDS:
-        ranked = sorted(((trees.score(r[2]), r[3], r[4]) for r in rows if r[0] == 1 and r[1] == kind), reverse=True)
+    for gen in range(len(GENERATORS)):
+        ranked = sorted(((trees.score(r[2]), r[3], r[4]) for r in rows if r[0] == 1 and r[1] == gen), reverse=True)
         n = good = 0
         for i, (score, a, b) in enumerate(ranked):
             n, good = n + a, good + b
             if (i + 1 == len(ranked) or ranked[i + 1][0] < score) and n >= LEAST and good >= PRECISION * n:
-                thresholds[kind] = score - 1e-9
+                thresholds[gen] = score - 1e-9
     return trees, thresholds
 
 
@@ -170,8 +206,8 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     found = common.written(candidates(source.where("text is not null").select("k1", "k2", "text")), "op6-candidates")
     trees, thresholds = model(found)
     least = F.lit(None).cast("double")
-    for kind, value in thresholds.items():
-        least = F.when(F.col("kind") == kind, F.lit(value)).otherwise(least)
+    for gen, value in thresholds.items():
+        least = F.when(F.col("f.gen") == gen, F.lit(value)).otherwise(least)
     scored = found.withColumn("score", F.when(F.col("base"), F.lit(math.inf)).otherwise(trees.column("f"))).where(F.col("base") | (F.col("score") >= least))
     # spans that touch form an island; base ones stay, else the best scored one does
     order = Window.partitionBy("k1", "k2").orderBy("start", "end", "kind")

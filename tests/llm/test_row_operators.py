@@ -172,6 +172,31 @@ def test_no_python_in_the_plan(docs):
     assert not re.search("Python|Pandas|ArrowEval|MapInArrow", plan)
 
 
+def test_tokens_bare_phones_and_spelled_addresses_are_added(docs, words):
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    number = lambda: f"({rng.randrange(212, 290)}) {rng.randrange(512, 590)}-{rng.randrange(1000, 9999)}"
+    texts, want, base_phones = [], [], 300
+    for i in range(600):
+        a, b = words(i, 6), words(1000 + i, 6)
+        kind = ["SECRET", "PHONE", "EMAIL"][i % 3]
+        planted = [f'token = "{key()}"', f"call {number()}", f"write jane.doe{i} at example{i} dot com"][i % 3]
+        shown = ['token = "[SECRET]"', "call [PHONE]", "write [EMAIL]"][i % 3]
+        texts.append(f"{a} {planted} {b}")
+        want.append(f"{a} {shown} {b}")
+        assert f"[{kind}]" in want[-1]
+    texts += [f'x = "{key()}" y']  # no cue, but what else tells a token
+    want += ['x = "[SECRET]" y']
+    for i in range(200):  # commits have no cue and stand between blanks
+        texts.append(f"{words(i, 5)} commit {key()} of {i}")
+        want.append(texts[-1])
+    for i in range(base_phones):  # pieces of a base phone, whose codes can't be dialled, are no negatives
+        texts.append(f"{words(i, 5)} +1 ({rng.randrange(100, 199)}) 555-{rng.randrange(1000, 9999)} n{i}")
+        want.append(f"{words(i, 5)} [PHONE] n{i}")
+    got = {r.doc_id: r.text for r in op6.redact(docs(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_trees_learn_and_thresholds_keep_precision(docs):
     rows = [((3, 2, 3, c, 0, 0, 1), 100.0, 95.0 if c else 5.0) for c in (0, 1)]
     t = op6.Trees(rows)

@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-A filter is a direction with a cap round it. The directions are a product code: each of ``PARTS`` parts of the
-coordinates has ``CODES`` random unit codewords, and every combination is a direction, whose inner product with a vector
+A filter is a direction with a cap round it. Vectors are first turned by a fixed random rotation, so that recall does
+not depend on how they spread over the coordinates (without it, it was 0.15 to 0.66 in the tests' vectors of zeros in half of them).
+The directions are a product code: each of ``PARTS`` parts of the turned coordinates has ``CODES`` random unit codewords, and every combination is a direction, whose inner product with a vector
 is the sum of the parts' products. A vector is list-decoded to all filters that exceed its cap's inner product, which is
 set so that ``LISTED`` do: lists of the parts' best codewords are merged, and only ranks whose product is at most
 ``LISTED`` can be among the best sums. A cap of one inner product for all vectors was tried: the lists' lengths then
@@ -48,6 +49,8 @@ class Code:
         for part in self.parts:
             words = rng.standard_normal((CODES, len(part)))
             self.words.append(words / np.linalg.norm(words, axis=1, keepdims=True))
+        q, r = np.linalg.qr(rng.standard_normal((d, d)))
+        self.turn = q * np.sign(np.diag(r))
 
     def best(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The greatest of each row, in falling order, and their places."""
@@ -58,6 +61,7 @@ class Code:
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The filters of unit vectors x, by row."""
+        x = x @ self.turn
         total, code = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
         for part, words in zip(self.parts, self.words):
             value, word = self.best(x[:, part] @ words.T)

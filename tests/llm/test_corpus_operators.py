@@ -246,6 +246,20 @@ def test_recall_of_the_filters():
     assert np.mean([len(set(a) & set(b)) > 0 for a, b in zip(code.decode(x).tolist(), code.decode(y).tolist())]) > 0.99
 
 
+@pytest.mark.parametrize("scale", ["tenth", "hundredth", "harmonic", "padded"])
+@pytest.mark.parametrize("noise", ["isotropic", "alike"])
+def test_recall_of_the_filters_on_uneven_spectra(scale, noise):
+    rng = np.random.default_rng(9)
+    half = np.arange(64) < 32
+    by = {"tenth": np.where(half, 1, 0.1), "hundredth": np.where(half, 1, 0.01), "harmonic": 1 / np.arange(1, 65), "padded": np.where(half, 1, 0.0)}[scale]
+    x = op10.unit_rows(rng.standard_normal((1500, 64)) * by)
+    z = rng.standard_normal((1500, 64)) * (by if noise == "alike" else 1)
+    z = op10.unit_rows(z - (z * x).sum(1, keepdims=True) * x)
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * z
+    code = op10.Code(64, op10.LISTED)
+    assert np.mean([len(set(a) & set(b)) > 0 for a, b in zip(code.decode(x).tolist(), code.decode(y).tolist())]) > 0.99
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100 + i, 100) for i in range(30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(30)]

@@ -16,8 +16,8 @@ pairs of blocks, each a task's unit, so no group is gathered whole and no pairs
 its nodes (a pair counts in the least filter that both share) and gives each node's root within the unit. Roots are then
 united into components.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components, and those without a
-label, link with nothing. Rows with a null vec_id count as vectors; a component of such rows only has the id null.
+Vectors that are null, zero, or hold null or non-finite components, and those without a label, link with nothing; the
+others are compared with those of their own length. Rows with a null vec_id count as vectors; a component of such rows only has the id null.
 Repeated rows are vectors of their own. An empty table gives an empty result. Only the named columns are looked at.
 """
 
@@ -77,32 +77,17 @@ def code_for(d: int, listed: int) -> Code:
     return Code(d, listed)
 
 
-def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of a list column of float64 as rows of one length, and which rows are vectors to compare."""
-    n = len(column)
+def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The vectors of a list column of float64, by length: their places, the vectors as rows, and which are to compare."""
     valid = column.is_valid().to_numpy(zero_copy_only=False)
-    lists = column.to_pylist() if column.null_count or any_null(column) else None
-    if lists is None:
-        off = column.offsets.to_numpy()
-        length = np.diff(off)
-        flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        if n and (length == length[0]).all():
-            x = flat[off[0] : off[-1]].reshape(n, length[0])
-            return x, valid & np.isfinite(x).all(1) & (np.abs(x).max(1, initial=0) > 0)
-        lists = column.to_pylist()
-    width = max((len(v) for v in lists if v), default=1)
-    x = np.zeros((n, width))
-    ok = np.zeros(n, bool)
-    for i, v in enumerate(lists):
-        if v and len(v) == width and all(c is not None for c in v):
-            x[i] = v
-            ok[i] = np.isfinite(x[i]).all() and np.abs(x[i]).max() > 0
-    x[~ok] = 0
-    return x, ok
-
-
-def any_null(column: pa.Array) -> bool:
-    return column.values.null_count > 0
+    off = column.offsets.to_numpy()
+    length = np.where(valid, np.diff(off), 0)
+    flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)  # null components are NaN
+    for size in np.unique(length).tolist():
+        at = np.flatnonzero(length == size)
+        x = flat[off[at][:, None] + np.arange(size)]
+        ok = valid[at] & np.isfinite(x).all(1) & (np.abs(x).max(1, initial=0) > 0)
+        yield at, x, ok
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -113,17 +98,19 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vec_id, label, v) to (vec_id, node or null, v as the bytes of a unit vector)."""
     for batch in batches:
-        x, ok = matrix(batch.column(2))
-        ok &= batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        labelled = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
         label = batch.column(1).fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            bits = np.ascontiguousarray(x + 0.0).view(np.uint64).reshape(len(x), -1)
-        h = mixed(label + U(x.shape[1]))
-        for at in range(bits.shape[1]):
-            h = mixed(h ^ bits[:, at]) + U(at)
-        rows = np.zeros_like(x)
-        rows[ok] = unit_rows(x[ok])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64), mask=~ok), batch.column(1), pa.array([r.tobytes() if o else None for r, o in zip(rows, ok)], pa.binary())], ["vec_id", "node", "label", "v"])
+        node, use, rows = np.zeros(len(label), np.uint64), np.zeros(len(label), bool), [None] * len(label)
+        for at, x, ok in matrices(batch.column(2)):
+            at, x = at[ok & labelled[at]], x[ok & labelled[at]]
+            bits = np.ascontiguousarray(x + 0.0).view(np.uint64)
+            h = mixed(label[at] + U(x.shape[1]))
+            for i in range(bits.shape[1]):
+                h = mixed(h ^ bits[:, i]) + U(i)
+            node[at], use[at] = h, True
+            for i, r in zip(at.tolist(), unit_rows(x) if len(x) else ()):
+                rows[i] = r.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64), mask=~use), batch.column(1), pa.array(rows, pa.binary())], ["vec_id", "node", "label", "v"])
 
 
 def filters(listed: int):

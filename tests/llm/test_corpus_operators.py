@@ -236,6 +236,17 @@ def test_embeddings_with_null_and_repeated_ids(spark):
     assert op10.near(vectors(spark, [])).count() == 0
 
 
+def test_embeddings_of_several_lengths_in_one_batch(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for size in (16, 24, 40):
+        a = rng.standard_normal(size)
+        rows += [(len(rows) + k, (a + 0.01 * k).tolist(), 1) for k in range(2)]
+    rows += [(6, rng.standard_normal(41).tolist(), 1), (7, [], 1), (8, None, 1), (9, [1.0, None], 1), (10, [1.0, float("inf")], 1)]
+    got = {r.vec_id: r for r in op10.near(vectors(spark, rows).coalesce(1)).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(11)] == [(1, i // 2 * 2) for i in range(6)] + [(0, i) for i in range(6, 11)]
+
+
 def test_recall_of_the_filters():
     rng = np.random.default_rng(8)
     x = op10.unit_rows(rng.standard_normal((1500, 64)))

@@ -357,6 +357,11 @@ def _(spark, sf):
     return graph.outgoing(order_edges(spark, sf), orders, 0)
 
 
+@query("relation_out_all", f"WITH {ORDER_EDGES} SELECT src, kind, dst, payload FROM edges WHERE src IN (SELECT o_orderkey FROM orders)")
+def _(spark, sf):
+    return graph.outgoing(order_edges(spark, sf), table(spark, sf, "orders").select(F.col("o_orderkey").alias("entity")).distinct(), 0)
+
+
 @query("relation_in", f"WITH {ORDER_EDGES} SELECT src, kind, dst, payload FROM edges WHERE dst IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5)")
 def _(spark, sf):
     who = table(spark, sf, "customer").where("c_nationkey = 5").select(F.col("c_custkey").alias("entity"))
@@ -565,6 +570,13 @@ def _(spark, sf):
     return nav.straight_paths(r, resident)[0].select("route", "i", F.round("x", 6).alias("x"))
 
 
+@query("path_samples_all", "WITH r AS (SELECT o_orderkey AS route, CAST(o_custkey % 3000 AS DOUBLE) AS x1 FROM orders), s AS (SELECT route, x1, CAST(CASE WHEN x1 <= 64 THEN 0 ELSE floor(x1 / 64) END AS INT) AS n FROM r), p AS (SELECT route, unnest(range(0, n + 2)) AS i, n, x1 FROM s), q AS (SELECT route, i, CASE WHEN i > n THEN x1 ELSE x1 * (i / greatest(n, 1)) END AS x FROM p) SELECT route, CAST(i AS INT) AS i, round(x, 6) AS x FROM q WHERE i > 0 AND route NOT IN (SELECT route FROM q WHERE floor(x / 1024) >= 2)")
+def _(spark, sf):
+    r = table(spark, sf, "orders").select(F.col("o_orderkey").alias("route"), *(F.lit(0.0).alias(n) for n in ("x0", "y0", "z0")), (F.col("o_custkey") % 3000).cast("double").alias("x1"), F.lit(0.0).alias("y1"), F.lit(0.0).alias("z1"))
+    resident = spark.createDataFrame([(0, 0, 0), (1, 0, 0)], "tx long, ty long, tz long")
+    return nav.straight_paths(r, resident)[0].select("route", "i", F.round("x", 6).alias("x"))
+
+
 @query("lane_best", "WITH l AS (SELECT CAST(floor(c_custkey / 8) AS BIGINT) AS lane, sum(c_acctbal + c_nationkey) AS total FROM customer GROUP BY 1) SELECT lane, round(total, 4) AS total FROM l ORDER BY total DESC, lane LIMIT 1")
 def _(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("row"), "c_acctbal", "c_nationkey")

@@ -49,3 +49,19 @@ def test_queries_match_their_sql(spark, name):
     rows = sorted(([None if v is None else v for v in r] for r in want.fetchall()), key=lambda r: str(key(r)))
     mine = sorted(([r[n] for n in names] for r in got.collect()), key=lambda r: str(key(r)))
     assert [key(r) for r in mine] == [key(r) for r in rows]
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["relation_out_all", "path_samples_all"])
+def test_whole_orders_match_their_sql(spark, name):
+    test_queries_match_their_sql(spark, name)
+
+
+@needs_data
+def test_relations_and_paths_take_all_orders(spark):
+    from stratalog.plans import catalog
+
+    orders = catalog.table(spark, SF, "orders")
+    assert catalog.queries()["relation_out_all"](spark, SF).count() == orders.count()
+    routes = catalog.queries()["path_samples_all"](spark, SF).select("route").distinct()
+    assert routes.count() == orders.where("o_custkey % 3000 < 2048").count()

@@ -1,21 +1,26 @@
-"""Language-model scores by a bigram model with Katz backoff.
+"""Language-model scores by n-grams with Katz backoff; the order is a parameter, three by default.
 
-P(w | h) is d_r r / c(h) for a pair seen r times in training, else a(h) P(w); P(w) is d_c c / N for a word seen c times,
-else what is left for unknown words, taken as one type. d are Good-Turing discounts for counts up to ``K``, from the
-counts of counts of all training text. a(h) makes the probabilities given h add up to one exactly. A text starts with a
-start mark and ends with an end, which is a token.
+P(w | h) is d_r r / c(h) for an n-gram seen r times in training, else a(h) P(w | h') where h' is h without its first word,
+down to d_c c / N for a word seen c times, else what is left for unknown words, taken as one type. A context that was
+never seen passes its word on to the shorter one. d are Good-Turing discounts for counts up to ``K``, from the counts of
+counts of all training text, for each length. a(h) makes the probabilities given h add up to one exactly: the words seen
+after h are also seen after h', so all it needs of them are their counts there, which are whole numbers. A text starts
+with a start mark and ends with an end, which is a token.
 
 1. Texts are cut to words and written as chunks of local word numbers.
-2. Chunks send their words with counts to buckets by hash; a bucket adds up and answers each chunk. Answers are a table
-   partitioned by the scan partition that the chunk came from.
-3. Chunks send their pairs likewise, to buckets by the pair's first word, but for pairs whose first word is in no
-   other chunk's texts, or in no training text: these are known in place. A bucket holds the merged counts of its words' pairs, and
-   answers with each pair's count and, by first word, what a(h) needs.
-4. Each chunk reads its answers and evaluates its texts token by token: pair, else backoff to the word, else unknown.
-
-Pairs of a chunk are counted before they are sent. A word with more than ``SALTED`` occurrences has its pairs spread
-over several buckets, whose answers are added up, so no bucket grows with a hot word; the number of buckets grows with
-the pairs. Words are known by 64-bit hashes, the second word of a pair by 48 bits within its first.
+2. Chunks send their words with counts to buckets by hash; a bucket adds up, numbers its words by frequency, and answers
+   each chunk. Answers are a table partitioned by the scan partition that the chunk came from.
+3. For each length from two on, chunks send their distinct n-grams likewise, to buckets by context, in order of word
+   numbers, of which only the steps are written. Left out are those whose context is in no other chunk's texts, which are
+   known in place, and those of which a shorter part was never seen. A bucket answers with each n-gram's count and, by
+   context, the counts that a(h) needs where a text that wasn't learnt from may back off.
+4. Each chunk reads its answers and evaluates its texts token by token, from the word upwards.
+
+N-grams of a chunk are counted before they are sent. A context with more than ``SALTED`` occurrences has its n-grams
+spread over several buckets, whose answers are added up, so no bucket grows with a hot context. Buckets grow in number with
+the corpus, so a chunk's row for one bucket holds about chunk x bucket / corpus tokens: 30,000 at 0.5 GB, 500 at 30 GB.
+Beyond some terabytes ``chunk`` and ``bucket`` should be raised with the executors' memory (about 40 bytes a byte of chunk).
+Words are known by 64-bit hashes, contexts by those of their word numbers.
 
 Null and empty texts are an end alone. A null id belongs to the training texts. Repeated rows are counted each.
 Without training texts all probabilities are those of the unknown. Only the named columns are looked at.
@@ -37,34 +42,33 @@ from pyspark.sql import functions as F
 from . import common
 from .texts import BLOCK, SOLID, U, Words, blocks, mixed
 
-CHUNK = 12 << 20
+ORDER = 3
+CHUNK = 10 << 20
 K = 5
 SALTED = 1_000_000
-#: Words or pairs in a bucket, all chunks' together.
-BUCKET = 1_000_000
-START, END = 1, 2
-W48 = U((1 << 48) - 1)
-ENCODED = "part int, chunk int, ids array<long>, held array<boolean>, lengths binary, vocab binary, tokens binary, n_vocab long, n_tokens long"
-
-
-def packed(a: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(a).tobytes(), "zstd", asbytes=True) if len(a) else b""
-
-
-def unpacked(raw: bytes, dtype, n: int) -> np.ndarray:
-    size = n * np.dtype(dtype).itemsize
-    return np.frombuffer(pa.decompress(raw, size, "zstd", asbytes=True), dtype) if n else np.zeros(0, dtype)
+#: Words, or tokens whose n-grams are in a bucket, all chunks' together.
+BUCKET = 1_500_000
+END = 2
+#: Bytes of a number as written: word numbers and counts stay below 2**48.
+WIDE = 6
+ENCODED = "part int, chunk int, ids array<long>, held array<boolean>, lengths binary, vocab binary, tokens binary, n_vocab long, n_tokens long, n_train long"
 
 
-def planes(a: np.ndarray, n: int) -> bytes:
-    """Numbers as n byte planes, lowest first, which compress better than the numbers in a row."""
-    return packed(a.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :n].T)
+def planes(*arrays: np.ndarray, n: int = WIDE) -> bytes:
+    """Numbers as n byte planes, lowest first, which compress better than the numbers in a row; arrays stand in turn."""
+    parts = [np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes() for a in arrays]
+    return pa.compress(b"".join(parts), "zstd", asbytes=True) if any(map(len, parts)) else b""
 
 
-def unplaned(raw: bytes, n: int, size: int) -> np.ndarray:
-    out = np.zeros((size, 8), np.uint8)
-    out[:, :n] = unpacked(raw, np.uint8, n * size).reshape(n, size).T
-    return out.view(np.uint64).ravel()
+def unplaned(raw: bytes, *sizes: int, n: int = WIDE) -> list[np.ndarray]:
+    flat = np.frombuffer(pa.decompress(raw, n * sum(sizes), "zstd", asbytes=True), np.uint8) if raw else np.zeros(0, np.uint8)
+    found, at = [], 0
+    for size in sizes:
+        out = np.zeros((size, 8), np.uint8)
+        out[:, :n] = flat[at : at + n * size].reshape(n, size).T
+        found.append(out.view(np.uint64).ravel())
+        at += n * size
+    return found
 
 
 def encode(size: int):
@@ -85,10 +89,10 @@ def encode(size: int):
             vocab, tokens = vocab[order], rank[tokens]
             lengths = np.concatenate([h[2] for h in held])
             ids, flags = [i for h in held for i in h[0]], [f for h in held for f in h[1]]
-            row = [[part], [number], [ids], [flags], [packed(lengths.astype(np.int32))], [vocab.tobytes()], [planes(tokens, 4)], [len(vocab)], [len(tokens)]]
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            row = [[part], [number], [ids], [flags], [planes(lengths)], [vocab.tobytes()], [planes(tokens, n=4)], [len(vocab)], [len(tokens)], [len(flags) - sum(flags)]]
+            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], ["part", "chunk", "ids", "held", "lengths", "vocab", "tokens", "n_vocab", "n_tokens"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], [f.split()[0] for f in ENCODED.split(", ")])
 
         for batch in batches:
             ids, flags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -112,30 +116,12 @@ class Chunk:
     def __init__(self, row: dict):
         self.part, self.chunk, self.ids = row["part"], row["chunk"], row["ids"]
         self.vocab = np.frombuffer(row["vocab"], np.uint64)
-        self.tokens = unplaned(row["tokens"], 4, row["n_tokens"]).astype(np.int32)
-        self.lengths = unpacked(row["lengths"], np.int32, len(self.ids)).astype(np.int64)
+        self.tokens = unplaned(row["tokens"], row["n_tokens"], n=4)[0].astype(np.int32)
+        self.lengths = unplaned(row["lengths"], len(self.ids))[0].astype(np.int64)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.held = np.array(row["held"], bool)
         self.trained = np.repeat(~self.held, self.lengths)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs as places in vocab (the start mark's is its length), each token's pair, training counts."""
-        n = len(self.vocab)
-        pair = np.empty(len(self.tokens), np.int64)
-        pair[1:] = self.tokens[:-1]
-        pair[self.first] = n
-        pair *= n + 1
-        pair += self.tokens
-        order = np.argsort(pair, kind="stable").astype(np.int32)
-        pair = pair[order]
-        new = np.r_[True, pair[1:] != pair[:-1]] if len(pair) else np.zeros(0, bool)
-        at = np.empty(len(pair), np.int32)
-        at[order] = np.cumsum(new, dtype=np.int32) - 1
-        del order
-        pair = pair[new]
-        counts = np.bincount(at[self.trained], minlength=len(pair)).astype(np.int32)
-        return (pair // (n + 1)).astype(np.int32), (pair % (n + 1)).astype(np.int32), at, counts
-
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     for batch in batches:
@@ -150,8 +136,27 @@ def slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(bucket[s]), s, e
 
 
-def batch_of(rows: list[tuple], names: str, kinds: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names.split())
+ROWS = "bucket int, part int, chunk int, n int, n_first int, data binary"
+NAMES = [f.split()[0] for f in ROWS.split(", ")]
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32()] * 5 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], NAMES)
+
+
+def histogram(counts: np.ndarray) -> np.ndarray:
+    """Total, types, then the numbers of types seen 1 to K + 1 times."""
+    counts = counts.astype(np.int64)
+    return np.array([counts.sum(), (counts > 0).sum(), *np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2]], np.int64)
+
+
+def merged(rows: list[tuple], most: int = 64) -> Iterator[pa.RecordBatch]:
+    for s in range(0, len(rows), most):
+        yield batch_of(rows[s : s + most])
+
+
+# --- words ---
 
 
 def word_order(vocab: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,38 +165,35 @@ def word_order(vocab: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, bucket[order]
 
 
-I32, I64, BIN = pa.int32(), pa.int64(), pa.binary()
-WORDS, WORD_KINDS = "bucket part chunk n words counts", [I32, I32, I32, I32, BIN, BIN]
-WORD_ANSWER, WORD_ANSWER_KINDS = "bucket part chunk n counts seen", [I32, I32, I32, I32, BIN, BIN]
-
-
 def ask_words(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
-            counts = np.bincount(c.tokens[c.trained], minlength=len(c.vocab)).astype(np.int64)
+            counts = np.bincount(c.tokens[c.trained], minlength=len(c.vocab))
             order, bucket = word_order(c.vocab, n)
-            yield batch_of([(b, c.part, c.chunk, e - s, c.vocab[order[s:e]].tobytes(), packed(counts[order[s:e]])) for b, s, e in slices(bucket)], WORDS, WORD_KINDS)
+            yield from merged([(b, c.part, c.chunk, e - s, 0, c.vocab[order[s:e]].tobytes() + planes(counts[order[s:e]])) for b, s, e in slices(bucket)])
 
     return run
 
 
-def histogram(counts: np.ndarray) -> np.ndarray:
-    """Total, types, then the numbers of types seen 1 to K + 1 times."""
-    return np.array([counts.sum(), (counts > 0).sum(), *np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2]], np.int64)
-
+def answer_words(n: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["part"], r["chunk"]))
+        bucket = rows[0]["bucket"]
+        words = np.concatenate([np.frombuffer(r["data"], np.uint64, r["n"]) for r in rows])
+        local = np.concatenate([unplaned(r["data"][8 * r["n"] :], r["n"])[0] for r in rows])
+        names, at = np.unique(words, return_inverse=True)
+        counts = np.bincount(at, local, len(names)).astype(np.int64)
+        told = 2 * counts + (np.bincount(at, minlength=len(names)) == 1)  # and whether no other chunk has the word
+        number = np.empty(len(names), np.int64)
+        number[np.argsort(-counts, kind="stable")] = np.arange(len(names)) * n + bucket + 1  # 0 is the start mark
+        out, s = [(bucket, -1, -1, 0, 0, histogram(counts).tobytes())], 0
+        for r in rows:
+            own = at[s : s + r["n"]]
+            out.append((bucket, r["part"], r["chunk"], r["n"], 0, planes(told[own], number[own])))
+            s += r["n"]
+        return pa.Table.from_batches([batch_of(out)])
 
-def answer_words(table: pa.Table) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: (r["part"], r["chunk"]))
-    words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
-    local = np.concatenate([unpacked(r["counts"], np.int64, r["n"]) for r in rows])
-    names, at = np.unique(words, return_inverse=True)
-    counts = np.bincount(at, local, len(names)).astype(np.int64)
-    told = 2 * counts + (np.bincount(at, minlength=len(names)) == 1)  # and whether no other chunk has the word
-    out, s = [(rows[0]["bucket"], -1, -1, 0, b"", histogram(counts).tobytes())], 0
-    for r in rows:
-        out.append((r["bucket"], r["part"], r["chunk"], r["n"], packed(told[at[s : s + r["n"]]]), b""))
-        s += r["n"]
-    return pa.Table.from_batches([batch_of(out, WORD_ANSWER, WORD_ANSWER_KINDS)])
+    return run
 
 
 class Answers:
@@ -210,12 +212,7 @@ class Answers:
         return sorted((r for r in self.rows if r["chunk"] == chunk), key=lambda r: r["bucket"])
 
 
-def word_counts(c: Chunk, answers: list[dict], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The training counts of a chunk's words, and which are in no other chunk."""
-    order, _ = word_order(c.vocab, n)
-    out = np.empty(len(c.vocab), np.int64)
-    out[order] = np.concatenate([unpacked(r["counts"], np.int64, r["n"]) for r in answers])
-    return out >> 1, (out & 1).astype(bool)
+# --- discounts ---
 
 
 class Discount:
@@ -230,16 +227,16 @@ class Discount:
                 d = ((r + 1) * n[r] / n[r - 1] / r - over) / (1 - over)
                 if 0 < d < 1:
                     self.d[r] = d
-        if types_undiscounted(self.d, n):
+        if n[0] and (self.d[1 : K + 1][n[:K] > 0] == 1).all():
             self.d[1] = 0.5  # else nothing would be left for what wasn't seen
 
     def of(self, counts: np.ndarray) -> np.ndarray:
         """Discounted counts."""
         return counts * self.d[np.minimum(counts, K + 1)]
 
-
-def types_undiscounted(d: np.ndarray, n: np.ndarray) -> bool:
-    return bool((d[1 : K + 1][n[:K] > 0] == 1).all()) and n[0] > 0
+    def gone(self, few: np.ndarray) -> np.ndarray:
+        """What the discounts take from counts of which so many are 1 to K."""
+        return (few * (np.arange(1, K + 1) * (1 - self.d[1 : K + 1]))[:, None]).sum(0)
 
 
 class Unigram:
@@ -256,99 +253,255 @@ class Unigram:
         return np.where(counts > 0, self.discount.of(counts) / max(1, self.size), self.unknown)
 
 
-PAIRS, PAIR_KINDS = "bucket part chunk n n_first firsts sizes seconds counts words", [I32, I32, I32, I32, I32, BIN, BIN, BIN, BIN, BIN]
-PAIR_ANSWER, PAIR_ANSWER_KINDS = "bucket part chunk n n_first counts few many mass", [I32, I32, I32, I32, I32, BIN, BIN, BIN, BIN]
-
-
-class Pairs:
-    """A chunk's distinct pairs; which are sent to a bucket, in order of bucket and first word, and which are known."""
-
-    def __init__(self, c: Chunk, counts: np.ndarray, sole: np.ndarray, ends: int, n: int, salted: int):
-        self.first, self.second, self.at, self.local = c.pairs()
-        self.hashes = np.r_[c.vocab, U(START)]
-        often = np.r_[counts, ends]
-        self.known = (np.r_[sole, False] | (often == 0))[self.first]
-        parts = often // salted + 1
-        place = lambda first, salt: (mixed(self.hashes[first] + salt.astype(np.uint64) * U(0x9E3779B97F4A7C15)) % U(n)).astype(np.int64)
-        sent = np.flatnonzero(~self.known)
-        first = self.first[sent]
-        bucket = place(first, mixed(self.hashes[self.second[sent]]) % parts[first].astype(np.uint64))
-        order = np.lexsort((self.hashes[self.second[sent]] & W48, first, bucket))
-        self.order, keys = sent[order].astype(np.int32), (bucket * len(often) + first)[order]
-        # a first word asks all buckets that its pairs may be in, with pairs there or not
-        who = np.unique(first)
-        asked = np.repeat(who, parts[who])
-        salt = np.arange(len(asked)) - np.repeat(np.cumsum(parts[who]) - parts[who], parts[who])
-        entry = np.unique(place(asked, salt) * len(often) + asked)
-        self.who, self.size = (entry % len(often)).astype(np.int32), np.bincount(np.searchsorted(entry, keys), minlength=len(entry))
-        self.place = entry // len(often)
-
-    def buckets(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Bucket, first words, numbers of pairs of each, pairs."""
-        upto = np.r_[0, np.cumsum(self.size)]
-        for b, s, e in slices(self.place):
-            yield b, self.who[s:e], self.size[s:e], self.order[upto[s] : upto[e]]
-
-
-def ask_pairs(where: str, n_words: int, n_pairs: int, ends: int, salted: int):
+# --- n-grams ---
+
+
+def ordered(key: np.ndarray) -> np.ndarray:
+    """The order of numbers that aren't negative; sorting them together with their places is several times faster."""
+    bits = max(1, len(key)).bit_length()
+    if len(key) and int(key.max()) >> (63 - bits) == 0:
+        return np.sort((key.astype(np.int64) << bits) | np.arange(len(key))) & ((1 << bits) - 1)
+    return np.argsort(key, kind="stable")
+
+
+def stepped(columns: list[np.ndarray], starts: np.ndarray | None = None) -> list[np.ndarray]:
+    """Steps of columns of rows in order: a number's distance from the one above where all before it are the same."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    if starts is not None:
+        new[starts] = True
+    out = []
+    for c in columns:
+        c = c.astype(np.uint64)
+        step = np.diff(c, prepend=U(0))
+        out.append(np.where(new, c, step))
+        new = new | (step != 0)
+    return out
+
+
+def risen(steps: list[np.ndarray], starts: np.ndarray | None = None) -> list[np.ndarray]:
+    """What stepped() was given."""
+    n = len(steps[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    if starts is not None:
+        new[starts] = True
+    out = []
+    for step in steps:
+        total = np.cumsum(step, dtype=np.uint64)
+        start = np.flatnonzero(new)
+        c = total - np.repeat(total[start] - step[start], np.diff(np.r_[start, n]))
+        out.append(c)
+        new = new | (np.diff(c, prepend=U(0)) != 0)
+    return out
+
+
+def tuple_hashes(columns: list[np.ndarray]) -> np.ndarray:
+    h = np.full(len(columns[0]), 0x51ED270B, np.uint64)
+    for c in columns:
+        h = mixed(h ^ c.astype(np.uint64)) + U(0x9E3779B97F4A7C15)
+    return h
+
+
+class Level:
+    """A chunk's distinct n-grams of one length, of which all shorter parts have been seen: context and last word, the
+    shorter n-gram without the first word, training counts here, each token's n-gram and context (-1: none)."""
+
+    def __init__(self, c: Chunk, below: Level | None, start: int):
+        n = len(c.tokens)
+        self.below = below
+        if below is None:
+            # the start mark comes last
+            self.at, self.context = c.tokens, np.full(n, -1, np.int32)
+            self.local = np.r_[np.bincount(c.tokens[c.trained], minlength=len(c.vocab)), start]
+            return
+        context = np.full(n, -1, np.int64)
+        context[1:] = below.at[:-1]
+        context[c.first] = len(c.vocab) if below.below is None else -1
+        context[context >= 0] = np.where(below.counts[context[context >= 0]] > 0, context[context >= 0], -1)
+        self.context = context.astype(np.int32)
+        #: Contexts in texts that weren't learnt from: only there can a known context go on in a way that was never seen.
+        self.asks = np.zeros(len(below.counts), bool)
+        self.asks[context[(context >= 0) & ~c.trained]] = True
+        live = np.flatnonzero((context >= 0) & (below.at >= 0))
+        live = live[below.counts[below.at[live]] > 0]
+        key = context[live] * (len(c.vocab) + 1) + c.tokens[live]
+        order = ordered(key)
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        place = np.empty(len(key), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        key = key[new]
+        self.prefix, self.last = (key // (len(c.vocab) + 1)).astype(np.int32), (key % (len(c.vocab) + 1)).astype(np.int32)
+        self.at = np.full(n, -1, np.int32)
+        self.at[live] = place
+        self.suffix = np.empty(len(key), np.int32)
+        self.suffix[place] = below.at[live]
+        self.local = np.bincount(place[c.trained[live]], minlength=len(key))
+
+    def words(self, own: np.ndarray) -> list[np.ndarray]:
+        """The words of n-grams, by place."""
+        return [own] if self.below is None else [*self.below.words(self.prefix[own]), self.last[own]]
+
+    def told(self, counts: np.ndarray, sole: np.ndarray) -> None:
+        self.counts, self.sole = counts, sole
+
+    def placed(self) -> np.ndarray:
+        """The n-grams known in place: their context is in no other chunk."""
+        return self.below.sole[self.prefix]
+
+    def parcels(self, numbers: np.ndarray, n: int, salted: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """What is sent: bucket, contexts, numbers of n-grams of each, n-grams; contexts and n-grams in order."""
+        below, size = self.below, len(numbers)
+        word = np.empty(size, np.int64)
+        word[np.argsort(numbers, kind="stable")] = np.arange(size)
+        used = np.zeros(len(below.counts), bool)
+        used[self.context[self.context >= 0]] = True  # also contexts with which no seen n-gram goes on here
+        who = np.flatnonzero(used & ~below.sole)
+        ids = below.words(who)
+        key = word[ids[0]]
+        for x in ids[1:]:
+            key = np.unique(key, return_inverse=True)[1] * size + word[x]
+        order = ordered(key)
+        who, n_who = who[order], max(1, len(who))
+        rank = np.zeros(len(below.counts), np.int64)
+        rank[who] = np.arange(len(who))
+        hashes = tuple_hashes([numbers[x[order]] for x in ids])
+        parts = below.counts[who] // salted + 1
+        place = lambda r, salt: (mixed(hashes[r] + salt.astype(np.uint64) * U(0x9E3779B97F4A7C15)) % U(n)).astype(np.int64)
+        # a context asks all buckets that its n-grams may be in, with n-grams there or not
+        asked = np.repeat(np.arange(len(who)), parts)
+        salt = np.arange(len(asked)) - np.repeat(np.cumsum(parts) - parts, parts)
+        entry = np.unique(place(asked, salt) * n_who + asked)
+        at = np.zeros(n_who, np.int64)
+        at[entry % n_who] = np.arange(len(entry))
+        sent = np.flatnonzero(~self.placed())
+        first = rank[self.prefix[sent]]
+        own = at[first]
+        hot = np.flatnonzero(parts[first] > 1) if len(first) else first
+        if len(hot):
+            salt = mixed(numbers[self.last[sent[hot]]]) % parts[first[hot]].astype(np.uint64)
+            own[hot] = np.searchsorted(entry, place(first[hot], salt) * n_who + first[hot])
+        sent = sent[ordered(own * size + word[self.last[sent]])]
+        sizes = np.bincount(own, minlength=len(entry))
+        upto = np.r_[0, np.cumsum(sizes)]
+        for b, s, e in slices(entry // n_who):
+            yield b, who[entry[s:e] % n_who], sizes[s:e], sent[upto[s] : upto[e]]
+
+
+def levels(c: Chunk, answers: list[Answers], n_words: int, n_grams: int, start: int, salted: int, discounts: list[Discount] | None = None) -> tuple[list[Level], np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The levels for which there are answers; word numbers; and if discounts are given, for the contexts of each level
+    from the second on what discounts take from their n-grams' counts, the discounted sum of the shorter ones', both where
+    asked for only, and whether discounts take anything."""
+    found = [Level(c, None, start)]
+    order, _ = word_order(c.vocab, n_words)
+    rows = answers[0].of(c.part, c.chunk)
+    told, number = (np.concatenate(x) for x in zip(*(unplaned(r["data"], r["n"], r["n"]) for r in rows)))
+    counts, numbers = np.empty(len(c.vocab), np.int64), np.zeros(len(c.vocab) + 1, np.uint64)
+    counts[order], numbers[order] = told, number
+    found[0].told(np.r_[counts >> 1, start], np.r_[(counts & 1).astype(bool), False])
+    needs = []
+    for length, own in enumerate(answers[1:], 1):
+        level = Level(c, found[-1], start)
+        counts, sole = level.local.copy(), level.placed()
+        if discounts:
+            here, shorter = discounts[length], discounts[length - 1]
+            at = np.flatnonzero(sole & (counts > 0))
+            n = len(level.below.counts)
+            gone = np.bincount(level.prefix[at], counts[at] - here.of(counts[at]), n).astype(float)
+            mass = np.bincount(level.prefix[at], shorter.of(level.below.counts[level.suffix[at]]), n).astype(float)
+            cut = gone > 0
+            needs.append((gone, mass, cut))
+            discounted = U(sum(1 << r for r in range(K) if here.d[r + 1] < 1))
+        rows = {r["bucket"]: r for r in own.of(c.part, c.chunk)}
+        for b, who, _, grams in level.parcels(numbers, n_grams, salted):
+            asks = who[level.asks[who]]
+            told, kinds, more = unplaned(rows[b]["data"], len(grams), len(who), (2 * K + 1) * len(asks))
+            counts[grams], sole[grams] = told >> U(1), (told & U(1)).astype(bool)
+            if discounts:
+                more = more.astype(np.int64).reshape(2 * K + 1, -1)
+                gone[asks] += here.gone(more[:K])
+                mass[asks] += more[K] - shorter.gone(more[K + 1 :])
+                cut[who] |= (kinds & discounted) > 0
+        level.told(counts, sole)
+        found.append(level)
+    return found, numbers, needs
+
+
+def tallied(owner: np.ndarray, counts: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
+    """Of seen n-grams by context: how many have each count from 1 to K, the sum of the shorter n-grams' counts, and how
+    many of these are each from 1 to K."""
+    of = lambda x: [np.bincount(owner[x == r], minlength=n) for r in range(1, K + 1)]
+    total = np.zeros(n, np.int64)
+    np.add.at(total, owner, lower)
+    return np.stack([*of(counts), total, *of(lower)]).astype(np.int64)
+
+
+def ask_grams(wheres: list[str], n_words: int, n_grams: int, start: int, salted: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers = Answers(where)
+        answers = [Answers(w) for w in wheres]
         for c in chunks(batches):
-            counts, sole = word_counts(c, answers.of(c.part, c.chunk), n_words)
-            p = Pairs(c, counts, sole, ends, n_pairs, salted)
+            found, numbers, _ = levels(c, answers, n_words, n_grams, start, salted)
+            level = Level(c, found[-1], start)
+            lower = level.below.counts[level.suffix]
             # what is known in place still counts among the counts of counts
-            rows = [((c.part + c.chunk) % n_pairs, c.part, c.chunk, 0, -1, b"", b"", b"", histogram(p.local[p.known]).tobytes(), b"")]
-            for b, who, sizes, own in p.buckets():
-                w = p.hashes[p.second[own]] & W48
-                step = np.r_[w[:1], w[1:] - w[:-1]]
-                starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-                step[starts] = w[starts]  # second words rise within a first one: steps are small
-                rows.append((b, c.part, c.chunk, len(own), len(who), p.hashes[who].tobytes(), packed(sizes.astype(np.int32)), planes(step, 6), planes(p.local[own], 4), planes(counts[p.second[own]], 4)))
+            rows = [((c.part + c.chunk) % n_grams, c.part, c.chunk, 0, -1, histogram(level.local[level.placed()]).tobytes())]
+            for b, who, size, grams in level.parcels(numbers, n_grams, salted):
+                starts = (np.cumsum(size) - size)[size > 0]
+                columns = stepped([numbers[x] for x in level.below.words(who)])
+                (step,) = stepped([numbers[level.last[grams]]], starts)
+                rows.append((b, c.part, c.chunk, len(grams), len(who), planes(*columns, 2 * size + level.asks[who], step, level.local[grams], lower[grams])))
                 if len(rows) >= 64:
-                    yield batch_of(rows, PAIRS, PAIR_KINDS)
+                    yield batch_of(rows)
                     rows = []
-            yield batch_of(rows, PAIRS, PAIR_KINDS)
+            yield batch_of(rows)
+            del found, level, rows
+            common.trimmed()
 
     return run
 
 
-def risen(step: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Running sums within runs of the given sizes."""
-    sizes = sizes[sizes > 0]
-    total = np.cumsum(step)
-    start = np.cumsum(sizes) - sizes
-    return total - np.repeat(total[start] - step[start], sizes)
-
-
-def answer_pairs(stats: bytes):
+def answer_grams(length: int):
     def run(table: pa.Table) -> pa.Table:
-        unigram = Unigram(np.frombuffer(stats, np.int64))
-        rows = sorted(table.to_pylist(), key=lambda r: (r["part"], r["chunk"]))
+        rows = sorted(table.select(["bucket", "part", "chunk", "n", "n_first", "data"]).to_pylist(), key=lambda r: (r["part"], r["chunk"]))
         bucket = rows[0]["bucket"]
-        placed = np.sum([np.frombuffer(r["counts"], np.int64) for r in rows if r["n_first"] < 0], axis=0) if any(r["n_first"] < 0 for r in rows) else np.zeros(K + 3, np.int64)
+        stats = sum((np.frombuffer(r["data"], np.int64) for r in rows if r["n_first"] < 0), np.zeros(K + 3, np.int64))
         rows = [r for r in rows if r["n_first"] >= 0]
-        if not rows:
-            return pa.Table.from_batches([batch_of([(bucket, -1, -1, 0, 0, placed.tobytes(), b"", b"", b"")], PAIR_ANSWER, PAIR_ANSWER_KINDS)])
-        first = np.concatenate([np.frombuffer(r["firsts"], np.uint64) for r in rows])
-        size = np.concatenate([unpacked(r["sizes"], np.int32, r["n_first"]) for r in rows])
-        second = np.concatenate([risen(unplaned(r["seconds"], 6, r["n"]), unpacked(r["sizes"], np.int32, r["n_first"])) for r in rows])
-        local = np.concatenate([unplaned(r["counts"], 4, r["n"]) for r in rows]).astype(np.int64)
-        word = np.concatenate([unplaned(r["words"], 4, r["n"]) for r in rows]).astype(np.int64)
-        names, name = np.unique(first, return_inverse=True)
-        owner = np.repeat(name, size)
-        _, at, pair = np.unique(mixed(np.repeat(first, size)) + mixed(second), return_index=True, return_inverse=True)
-        counts = np.bincount(pair, local, len(at)).astype(np.int64)
-        seen = counts > 0
-        who, often = owner[at[seen]], counts[seen]
-        mass = np.bincount(who, unigram.p(word[at[seen]]), len(names))
-        few = np.stack([np.bincount(who[often == r], minlength=len(names)) for r in range(1, K + 1)])
-        many = np.bincount(who, np.where(often > K, often, 0), len(names)).astype(np.int64)
-        out, s, t = [(bucket, -1, -1, 0, 0, (placed + histogram(counts)).tobytes(), b"", b"", b"")], 0, 0
+        first, size, last, local, lower = [], [], [], [], []
         for r in rows:
-            own = name[t : t + r["n_first"]]
-            out.append((r["bucket"], r["part"], r["chunk"], r["n"], r["n_first"], planes(counts[pair[s : s + r["n"]]], 4), packed(few[:, own].astype(np.int32)), packed(many[own]), packed(mass[own])))
-            s, t = s + r["n"], t + r["n_first"]
-        return pa.Table.from_batches([batch_of(out, PAIR_ANSWER, PAIR_ANSWER_KINDS)])
+            *columns, sizes, step, here, below = unplaned(r.pop("data"), *[r["n_first"]] * (length + 1), *[r["n"]] * 3)
+            r["asks"], sizes = np.flatnonzero(sizes & U(1)), (sizes >> U(1)).astype(np.int64)
+            first.append(tuple_hashes(risen(columns)))
+            last.append(risen([step], (np.cumsum(sizes) - sizes)[sizes > 0])[0])
+            for x, y in ((size, sizes), (local, here), (lower, below)):
+                x.append(y)
+        out = []
+        if rows:
+            names, name = np.unique(np.concatenate(first), return_inverse=True)
+            owner = np.repeat(name, np.concatenate(size)).astype(np.int32)
+            key = mixed(names[owner]) + mixed(np.concatenate(last))
+            del last, first
+            order = np.argsort(key)
+            key = key[order]
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            at, chunks_of = order[new], np.diff(np.r_[new, len(key)])
+            gram = np.empty(len(key), np.int32)
+            gram[order] = np.repeat(np.arange(len(new), dtype=np.int32), chunks_of)
+            del key, order
+            counts = np.bincount(gram, np.concatenate(local), len(at)).astype(np.int64)
+            seen = counts > 0
+            need = tallied(owner[at[seen]], counts[seen], np.concatenate(lower)[at[seen]].astype(np.int64), len(names))
+            stats = stats + histogram(counts)
+            told = 2 * counts + (chunks_of == 1)
+            kinds = ((need[:K] > 0) << np.arange(K)[:, None]).sum(0)  # which of the counts 1 to K there are
+            s = t = 0
+            for r in rows:
+                own = name[t : t + r["n_first"]]
+                out.append((bucket, r["part"], r["chunk"], r["n"], r["n_first"], planes(told[gram[s : s + r["n"]]], kinds[own], need[:, own[r["asks"]]].ravel())))
+                s, t = s + r["n"], t + r["n_first"]
+        common.trimmed()
+        return pa.Table.from_batches([batch_of([(bucket, -1, -1, 0, 0, stats.tobytes()), *out])])
 
     return run
 
@@ -356,54 +509,44 @@ def answer_pairs(stats: bytes):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def evaluate(words_at: str, pairs_at: str, n_words: int, n_pairs: int, ends: int, salted: int, word_stats: bytes, pair_stats: bytes):
+def evaluate(wheres: list[str], n_words: int, n_grams: int, start: int, salted: int, stats: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_answers, pair_answers = Answers(words_at), Answers(pairs_at)
-        unigram, discount = Unigram(np.frombuffer(word_stats, np.int64)), Discount(np.frombuffer(pair_stats, np.int64))
+        answers = [Answers(w) for w in wheres]
+        unigram, *discounts = Unigram(np.frombuffer(stats[0], np.int64)), *(Discount(np.frombuffer(s, np.int64)) for s in stats[1:])
         for c in chunks(batches):
-            counts, sole = word_counts(c, word_answers.of(c.part, c.chunk), n_words)
-            p = Pairs(c, counts, sole, ends, n_pairs, salted)
-            first, n = p.first, len(c.vocab) + 1
-            p_word = unigram.p(np.r_[counts, 0])
-            # of first words known in place; the others' part is added by the buckets
-            seen, own = np.where(p.known, p.local, 0), p.known & (p.local > 0)
-            few = np.stack([np.bincount(first[own & (seen == r)], minlength=n) for r in range(1, K + 1)])
-            many = np.bincount(first, np.where(seen > K, seen, 0), n).astype(np.int64)
-            mass = np.bincount(first[own], p_word[p.second[own]], n).astype(float)
-            answers = {r["bucket"]: r for r in pair_answers.of(c.part, c.chunk)}
-            for b, who, _, own in p.buckets():
-                r = answers[b]
-                seen[own] = unplaned(r["counts"], 4, r["n"])
-                few[:, who] += unpacked(r["few"], np.int32, K * r["n_first"]).reshape(K, -1)
-                many[who] += unpacked(r["many"], np.int64, r["n_first"])
-                mass[who] += unpacked(r["mass"], np.float64, r["n_first"])
-            low = np.arange(1, K + 1)
-            total = (few * low[:, None]).sum(0) + many  # c(h)
-            kept = (few * (low * discount.d[1 : K + 1])[:, None]).sum(0) + many
-            size = np.where(kept < total, total, total + 1)  # without discounts one more occurrence stands for the unseen
-            with np.errstate(divide="ignore", invalid="ignore"):
-                back = np.where(total > 0, (1 - kept / size) / (1 - mass), 1.0)
-                chance = np.where(seen > 0, discount.of(seen) / size[first], back[first] * p_word[p.second])
+            found, _, needs = levels(c, answers, n_words, n_grams, start, salted, [unigram.discount, *discounts])
+            counts = found[0].counts[:-1]
+            chance, shorter_size = unigram.p(counts)[c.tokens], np.full(1, unigram.size)
+            for level, (gone, mass, cut), discount in zip(found[1:], needs, discounts):
+                total = level.below.counts  # c(h)
+                size = np.where(cut, total, total + 1)  # without discounts one more occurrence stands for the unseen
+                shorter = 0 if level.below.below is None else level.below.suffix
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    back = np.where(total > 0, (1 - (total - gone) / size) / (1 - mass / shorter_size[shorter]), 1.0)
+                seen = np.zeros(len(c.tokens), np.int64)
+                seen[level.at >= 0] = level.counts[level.at[level.at >= 0]]
+                known = level.context >= 0
+                context = np.where(known, level.context, 0)
+                chance = np.where(seen > 0, discount.of(seen) / size[context], np.where(known, back[context] * chance, chance))
+                shorter_size = size
             logs = np.log10(np.maximum(chance, 1e-300))
             base = np.log10((counts + 1) / (unigram.n + unigram.types + 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.ids, pa.int64()), pa.array(c.held), pa.array(c.lengths), pa.array(np.add.reduceat((counts > 0)[c.tokens].astype(np.int64), c.first)), pa.array(np.full(len(c.ids), unigram.n)), pa.array(np.add.reduceat(base[c.tokens], c.first)), pa.array(np.add.reduceat(logs[p.at], c.first))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            columns = [pa.array(c.ids, pa.int64()), pa.array(c.held), pa.array(c.lengths), pa.array(np.add.reduceat((counts > 0)[c.tokens].astype(np.int64), c.first)), pa.array(np.full(len(c.ids), unigram.n)), pa.array(np.add.reduceat(base[c.tokens], c.first)), pa.array(np.add.reduceat(logs, c.first))]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCORES.split(", ")])
+            del found, needs
+            common.trimmed()
 
     return run
 
 
-def partitioned(rows: DataFrame, label: str) -> tuple[str, np.ndarray, int]:
-    """Write answers by part; returns the folder, the sum of the histograms, and the pairs or words in them."""
+def partitioned(rows: DataFrame, label: str) -> tuple[str, np.ndarray]:
+    """Write answers by part; returns the folder and the sum of the histograms."""
     spark = rows.sparkSession
     where = common.new_path(spark, label)
     # the rows of one part are written by one task
-    rows.repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(where)
-    column = "seen" if "seen" in rows.columns else "counts"
-    stats = spark.read.schema(rows.schema).parquet(where).where("part = -1").select(column)
-    sums = stats.mapInArrow(add_up, "v array<long>").collect()  # a row a task
-    return where, np.sum([r.v for r in sums], axis=0, dtype=np.int64) if sums else np.zeros(K + 3, np.int64), len(sums)
+    rows.repartition("part").write.option("compression", "none").partitionBy("part").parquet(where)
+    sums = spark.read.schema(rows.schema).parquet(where).where("part = -1").select("data").mapInArrow(add_up, "v array<long>").collect()  # a row a task
+    return where, np.sum([r.v for r in sums], axis=0, dtype=np.int64) if sums else np.zeros(K + 3, np.int64)
 
 
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,70 +557,31 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["v"])
 
 
-def fields(names: str, kinds: list) -> str:
-    return ", ".join(f"{n} {'int' if k == I32 else 'long' if k == I64 else 'binary'}" for n, k in zip(names.split(), kinds))
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
-def scores(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, bucket: int = BUCKET, salted: int = SALTED) -> DataFrame:
+def scores(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk: int = CHUNK, bucket: int = BUCKET, salted: int = SALTED) -> DataFrame:
     """Per row of docs the columns of SCORES; rows for which held is true aren't learnt from."""
+    if order < 1:
+        raise ValueError("the order is at least 1")
     spark = common.tuned(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
     coded = common.written(source.mapInArrow(encode(chunk), ENCODED), "op5-chunks")
-    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set(key, "4")  # chunks are rows of megabytes
-    try:
-        size = coded.agg(F.sum("n_vocab"), F.sum("n_tokens")).first()
-        n_words, n_pairs = (max(1, math.ceil((x or 0) / bucket)) for x in size)
-        asked = coded.mapInArrow(ask_words(n_words), fields(WORDS, WORD_KINDS))
-        words_at, word_stats, _ = partitioned(asked.groupBy("bucket").applyInArrow(answer_words, fields(WORD_ANSWER, WORD_ANSWER_KINDS)), "op5-words")
-        ends = source.where(~F.col("held")).count()
-        asked = coded.mapInArrow(ask_pairs(words_at, n_words, n_pairs, ends, salted), fields(PAIRS, PAIR_KINDS))
-        pairs_at, pair_stats, _ = partitioned(asked.groupBy("bucket").applyInArrow(answer_pairs(word_stats.tobytes()), fields(PAIR_ANSWER, PAIR_ANSWER_KINDS)), "op5-pairs")
-        return common.written(coded.mapInArrow(evaluate(words_at, pairs_at, n_words, n_pairs, ends, salted, word_stats.tobytes(), pair_stats.tobytes()), SCORES), "op5-scores")
-    finally:
-        spark.conf.set(key, old)
+    size = coded.agg(F.sum("n_vocab"), F.sum("n_tokens"), F.sum("n_train")).first()
+    n_words, n_grams = (max(1, math.ceil((x or 0) / bucket)) for x in size[:2])
+    given = n_words, n_grams, size[2] or 0, salted
+    where, stats = partitioned(coded.mapInArrow(ask_words(n_words), ROWS).groupBy("bucket").applyInArrow(answer_words(n_words), ROWS), "op5-words")
+    wheres, found = [where], [stats.tobytes()]
+    for length in range(1, order):
+        asked = coded.mapInArrow(ask_grams(wheres, *given), ROWS)
+        where, stats = partitioned(asked.groupBy("bucket").applyInArrow(answer_grams(length), ROWS), f"op5-{length + 1}-grams")
+        wheres, found = [*wheres, where], [*found, stats.tobytes()]
+    out = common.written(coded.mapInArrow(evaluate(wheres, *given, found), SCORES), "op5-scores")
+    for done in (*wheres, coded):
+        common.dropped(spark, done)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(common.table(spark, sf_dir, "documents"), held_out(F.col("doc_id")))
-
-
-def brute(rows: list[tuple[bool, str | None]]) -> list[tuple]:
-    """n_tokens, n_known, base and model score of each (held, text), by dictionaries; for tests."""
-    import re
-    from collections import Counter
-
-    lower = {i: i + 32 for i in range(65, 91)}
-    texts = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), None] for _, t in rows]
-    uni: Counter = Counter()
-    bi: Counter = Counter()
-    for (held, _), t in zip(rows, texts):
-        if not held:
-            uni.update(t)
-            bi.update(zip([0, *t[:-1]], t))
-    stats = lambda c: histogram(np.array(sorted(c.values()), np.int64)) if c else np.zeros(K + 3, np.int64)
-    u, d = Unigram(stats(uni)), Discount(stats(bi))
-    followers: dict = {}
-    for (h, w), r in bi.items():
-        followers.setdefault(h, {})[w] = r
-
-    def p1(w):
-        return float(u.p(np.array([uni[w]]))[0])
-
-    def p2(h, w):
-        own = followers.get(h)
-        if not own:
-            return p1(w)
-        total = sum(own.values())
-        kept = sum(r * d.d[min(r, K + 1)] for r in own.values())
-        size = total if kept < total else total + 1
-        if w in own:
-            return own[w] * d.d[min(own[w], K + 1)] / size
-        return (1 - kept / size) / (1 - sum(map(p1, own))) * p1(w)
-
-    n, v = sum(uni.values()), len(uni)
-    return [(len(t), sum(uni[w] > 0 for w in t), sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t), sum(math.log10(p2(h, w)) for h, w in zip([0, *t[:-1]], t))) for t in texts]

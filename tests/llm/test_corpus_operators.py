@@ -51,59 +51,81 @@ def test_repeats_in_a_long_text_and_none(docs, monkeypatch):
     assert op3.dedup(docs([])).count() == 0
 
 
-@pytest.mark.parametrize("salted", [1_000_000, 5])
-def test_katz_is_brute_force(docs, salted):
+def katz(rows, order, most=5):
+    """Counts and scores of (held, text) by dictionaries, and P(word | context) as a function."""
+    import re
+    from collections import Counter
+
+    lower = {i: i + 32 for i in range(65, 91)}
+    texts = [["<s>", *re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), None] for _, t in rows]
+    grams = [Counter() for _ in range(order + 1)]
+    for (held, _), t in zip(rows, texts):
+        for n in range(1, order + 1) if not held else ():
+            grams[n].update(tuple(t[i - n + 1 : i + 1]) for i in range(max(1, n - 1), len(t)))
+    cut = [{} for _ in grams]
+    for n in range(1, order + 1):
+        c = Counter(grams[n].values())
+        x = (most + 1) * c[most + 1] / c[1] if c[1] else 0
+        for r in range(1, most + 1):
+            v = ((r + 1) * c[r + 1] / c[r] / r - x) / (1 - x) if c[1] and c[r] and x < 1 else 1
+            cut[n][r] = v if 0 < v < 1 else 1
+        if c[1] and all(cut[n][r] == 1 for r in range(1, most + 1) if c[r]):
+            cut[n][1] = 0.5
+    total = sum(grams[1].values())
+    after = {}
+    for n in range(2, order + 1):
+        for g, r in grams[n].items():
+            after.setdefault(g[:-1], {})[g[-1]] = r
+    less = lambda n, r: r * cut[n].get(r, 1)
+
+    def p(h, w):
+        own = {g[0]: r for g, r in grams[1].items()} if not h else after.get(h)
+        if not own:
+            return p(h[1:], w) if h else 1.0
+        c, kept = sum(own.values()), sum(less(len(h) + 1, r) for r in own.values())
+        size = c if kept < c else c + 1
+        if w in own:
+            return less(len(h) + 1, own[w]) / size
+        return (1 - kept / size) / (1 - sum(p(h[1:], v) for v in own)) * p(h[1:], w) if h else 1 - kept / size
+
+    n, v = total, len(grams[1])
+    found = []
+    for t in texts:
+        base = sum(math.log10((grams[1][(w,)] + 1) / (n + v + 1)) for w in t[1:])
+        score = sum(math.log10(p(tuple(t[max(0, i - order + 1) : i]), t[i])) for i in range(1, len(t)))
+        found.append((len(t) - 1, sum(grams[1][(w,)] > 0 for w in t[1:]), base, score))
+    return found, p
+
+
+@pytest.mark.parametrize("order, salted, chunk", [(1, 1_000_000, 700), (2, 5, 700), (3, 1_000_000, 700), (3, 5, 1 << 20), (4, 5, 700)])
+def test_katz_is_brute_force(docs, order, salted, chunk):
     rng = random.Random(8)
     texts = [None, "", "  ", "one"] + [" ".join(rng.choice(["The", "the", "cat", "É", "sat", "x%d" % rng.randrange(30)]) for _ in range(rng.randrange(60))) for _ in range(60)]
+    texts += [texts[9], texts[9], "the cat " * 2000]
     held = [i % 7 == 2 for i in range(len(texts))]
-    got = {r.doc_id: r for r in op5.scores(docs(texts), F.pmod("doc_id", F.lit(7)) == 2, chunk=700, bucket=50, salted=salted).collect()}
-    for i, (n, known, base, score) in enumerate(op5.brute(list(zip(held, texts)))):
+    d = docs(texts).withColumn("held", F.lit(1)).withColumn("part", F.lit(2))
+    got = {r.doc_id: r for r in op5.scores(d, F.pmod("doc_id", F.lit(7)) == 2, order=order, chunk=chunk, bucket=50, salted=salted).collect()}
+    for i, (n, known, base, score) in enumerate(katz(list(zip(held, texts)), order)[0]):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.held_out) == (n, known, held[i])
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
 
 
 def test_katz_probabilities_add_up_to_one():
-    from collections import Counter
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(12))) for _ in range(30)]
+    _, p = katz([(False, t) for t in texts], 3)
+    words = ["a", "b", "c", "d", "e", "f", "g", "h", None, "unknown"]
+    for h in [(), ("a",), ("<s>",), ("<s>", "b"), ("a", "b"), ("c", "c"), ("unknown", "a")]:
+        assert math.isclose(sum(p(h, w) for w in words), 1, rel_tol=1e-9)
 
-    text = "a b a c a b d a b e".split()
-    uni = Counter(text)
-    u = op5.Unigram(op5.histogram(np.array(list(uni.values()))))
-    assert math.isclose(sum(float(u.p(np.array([c]))[0]) for c in uni.values()) + u.unknown, 1)
-    train = (False, " ".join(text))
-    # a held-out text "a w" scores P(a | start) P(w | a) P(end | w), and "a" P(a | start) P(end | a)
-    probe = lambda t: op5.brute([train, (True, t)])[1][3]
-    start = probe("a") - math.log10(end_after("a", train))
-    total = sum(10 ** (probe(f"a {w}") - start) / end_after(w, train) for w in [*uni, "unknown"]) + end_after("a", train)
-    assert math.isclose(total, 1, rel_tol=1e-9)
-
-
-def end_after(word, train):
-    """P(end | word): what an end after the word adds to the score of a text."""
-    twice, once = op5.brute([train, (True, f"{word} {word}")])[1][3], op5.brute([train, (True, word)])[1][3]
-    thrice = op5.brute([train, (True, f"{word} {word} {word}")])[1][3]
-    # scores: s + e, s + r + e, s + 2 r + e for start s, repeat r and end e; the start is that of the empty text's words
-    repeat = thrice - twice
-    assert math.isclose(twice - once, repeat, abs_tol=1e-9)
-    return 10 ** (once - first_of(word, train))
-
-
-def first_of(word, train):
-    """log10 P(word | start), from the model's parts."""
-    from collections import Counter
 
-    tokens = [*train[1].split(), None]
-    uni, pairs = Counter(tokens), Counter(zip(["<start>", *tokens[:-1]], tokens))
-    u = op5.Unigram(op5.histogram(np.array(list(uni.values()))))
-    d = op5.Discount(op5.histogram(np.array(list(pairs.values()))))
-    seen = {w: r for (h, w), r in pairs.items() if h == "<start>"}
-    size = sum(seen.values())
-    kept = sum(r * d.d[min(r, op5.K + 1)] for r in seen.values())
-    size = size if kept < size else size + 1
-    p1 = lambda w: float(u.p(np.array([uni[w]]))[0])
-    if word in seen:
-        return math.log10(seen[word] * d.d[min(seen[word], op5.K + 1)] / size)
-    return math.log10((1 - kept / size) / (1 - sum(map(p1, seen))) * p1(word))
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3), st.integers(0, 200)), min_size=1, max_size=40))
+@settings(max_examples=100, deadline=None)
+def test_steps_of_ordered_rows(rows):
+    columns = [np.array(c, np.uint64) for c in zip(*sorted(rows))]
+    back = op5.unplaned(op5.planes(*op5.stepped(columns)), *[len(rows)] * 3)
+    assert [c.tolist() for c in op5.risen(back)] == [c.tolist() for c in columns]
 
 
 def test_katz_on_nothing(docs):
@@ -182,12 +204,34 @@ def test_near_duplicates_are_brute_force(docs, words):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
-def test_near_duplicates_with_null_and_repeated_ids(docs, words):
+def test_near_duplicates_with_null_and_repeated_ids(spark, docs, words):
     a, b = words(1), words(2)
     d = docs([a, a + " x", b, b, b, None], [None, 7, None, None, 3, None])
     rows = sorted(((r.doc_id, r.class_id, r.kept) for r in op9.classes(d).collect()), key=str)
     assert rows == sorted([(None, 7, False), (7, 7, True), (None, 3, False), (None, 3, False), (3, 3, True), (None, None, True)], key=str)
-    assert op9.classes(docs([])).count() == 0
+    assert op9.classes(docs([])).count() == 0 and op9.keep_one(docs([])).count() == 0
+    # unlike texts under one id all stay; of equal rows one does; the least and no id are ids like others
+    d = docs([a, b, words(3), words(3), words(4), words(5), words(5) + "!"], [1, 1, 2, 2, -(2**63), None, None]).withColumn("__k1", F.lit("x"))
+    kept = op9.keep_one(d)
+    assert kept.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (2, words(3)), (-(2**63), words(4)), (None, next(r.text for r in kept.where("doc_id is null").collect()))], key=str)
+
+
+def test_crowded_bands_lose_nothing_and_write_no_pairs(spark, docs, words):
+    rng = random.Random(5)
+    texts, base = [], words(1, 100).split()
+    for i in range(150):  # one template at about 0.7, pairs of near copies in it
+        t = list(base)
+        for k in range(4):
+            t[rng.randrange(100)] = f"own{i}x{k}"
+        texts.append(" ".join(t))
+    for i in range(0, 150, 5):
+        texts.append(texts[i] + f" end{i}")
+    texts.append("z " * 30_000)
+    want = brute_classes(texts)
+    for crowd, unit in ((10, 3000), (10, 10**9), (10**6, 1)):
+        got = {r.doc_id: r.class_id for r in op9.classes(docs(texts), crowd=crowd, unit=unit).collect()}
+        assert [got[i] for i in range(len(texts))] == want
 
 
 def test_darts_estimate_weighted_similarity():

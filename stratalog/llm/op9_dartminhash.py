@@ -8,14 +8,18 @@ A document with an empty coordinate throws again up to twice the rank.
 
 Documents with the same words form one class at once. Classes that share a band are joined to the band's leader;
 similarities are then computed from all elements and links below ``threshold`` dropped. Where a band still holds several
-components, its members of different components are compared too, so sharing a band with a similar text is never lost,
-and no pairs are made within a component. With 32 bands of 5 a pair at 0.8 shares none with a chance of 3e-6.
-
-Bands are aggregated before they are shuffled; a leader's links are sorted next to it and streamed.
-
-Texts of fewer words than a shingle are one element; null and wordless texts link with nothing. Rows that share an id
-are one document of the class they lead to. Rows with a null id take part and have the class of their likes; where no
-like has an id, class_id is null. An empty table gives an empty result. Only the named columns are looked at.
+components, its members of different components are compared too, so sharing a band with a similar text is never lost:
+in bands of up to ``CROWD`` members as pairs, in larger ones as blocks of about ``UNIT`` elements, each pair of blocks a
+task's unit that gives each member its root within the unit, so pairs are never written. With 32 bands of 5 a pair at
+0.8 shares none with a chance of 3e-6.
+
+Bands are aggregated before they are shuffled; a leader's links are sorted next to it and streamed, and a leader of more
+than ``SPREAD`` of them is sent to several tasks.
+
+Texts of fewer words than a shingle are one element; null and wordless texts link with nothing. Documents are told apart
+by their words, never by their ids, so unlike texts under one id are documents of their own. A class has the smallest id
+in it, null if it has none; what is kept of it is a row with that id. Rows of one id and text are one document. An empty
+table gives an empty result. Only the named columns are looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,6 +38,7 @@ from .texts import WORD, Rolling, U, Words, blocks, mixed
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
+CROWD, UNIT, SPREAD = 64, 200_000, 4096
 _STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -90,18 +95,16 @@ def sign(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mixed(np.arange(1, bands + 1, dtype=np.uint64) * _STEP)
         for batch in batches:
-            for i, j, data, off in blocks(batch.column(1)):
+            for i, j, data, off in blocks(batch.column(2)):
                 words = Words(data, off, WORD)
                 at, unit = units(words, size)
                 sig = signatures(at, unit, bands * rows).reshape(j - i, bands, rows)
                 band = np.broadcast_to(salt, (j - i, bands)).copy()
                 for r in range(rows):
                     band = mixed(band * U(31) + sig[:, :, r])
-                hashes = words.hashes()
-                forms = [Rolling(h)(words.first[:-1], words.first[1:]).view(np.int64) for h in (hashes, mixed(hashes))]
-                n = np.diff(at)
+                node = Rolling(words.hashes())(words.first[:-1], words.first[1:]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * bands + 1, bands, dtype=np.int32)), pa.array(band.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, forms), pa.array(n), lists], ["sid", "f1", "f2", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(node), pa.array(np.diff(at)), lists], ["doc_id", "k2", "node", "n", "bands"])
 
     return run
 
@@ -143,32 +146,88 @@ def compare(threshold: float):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float, salts: int = 16) -> DataFrame:
-    """Of pairs (a, b) of nodes those at least so similar; texts: (node, text), one row a node."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
-    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    found = texts.join(ends.hint("shuffle_merge"), "node").select("node", "text").mapInArrow(sets(size), "node long, units binary")
-    found = common.written(found, "op9-sets")
-    leaders = salted.select("a", "salt").distinct().join(found.hint("shuffle_merge"), F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "units")
-    members = salted.join(found.hint("shuffle_merge"), F.col("b") == F.col("node")).select("a", "salt", "b", "units")
-    rows = leaders.unionAll(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return common.written(rows.mapInArrow(compare(threshold), "a long, b long"), "op9-links")
+def compare_blocks(threshold: float):
+    """Rows (band, i, j, mine, node, root, units), sorted by unit, to links (a, b) of members of different roots."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        cross = rows[0][1] != rows[0][2]
+        mine, node, root = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        size = np.array([len(x) for x in sets])
+        _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(rows)), size)
+        owner, token = owner[often[token] > 1], token[often[token] > 1]
+        place = np.cumsum(often > 1) - 1
+        token = place[token]
+        first = np.searchsorted(owner, np.arange(len(rows) + 1))
+        filled = np.flatnonzero(np.diff(first))
+        label = list(range(len(rows)))
+
+        def top(x: int) -> int:
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        step = max(1, min(64, (32 << 20) // max(1, len(token))))
+        for s in range(0, len(rows), step):
+            e = min(len(rows), s + step)
+            has = np.zeros((int((often > 1).sum()), e - s), np.uint32)
+            has[token[first[s] : first[e]], owner[first[s] : first[e]] - s] = 1
+            same = np.zeros((len(rows), e - s), np.int64)
+            if len(filled):
+                same[filled] = np.add.reduceat(has[token], first[filled], 0)
+            near = same >= threshold * (size[:, None] + size[None, s:e] - same)
+            near &= (same > 0) & (root[:, None] != root[None, s:e])
+            if cross:
+                near &= mine[:, None] != mine[None, s:e]
+            for k, i in zip(*np.nonzero(near)):
+                x, y = top(int(k)), top(s + int(i))
+                label[max(x, y)] = min(x, y)
+        found = [(int(node[k]), int(node[top(k)])) for k in range(len(rows)) if top(k) != k]
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[:3] != held[0][:3]:
+                    yield solve(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield solve(held)
 
-#: Rows with a null id stand under numbers up to this, made from their texts.
-NAMELESS = -(1 << 62)
+    return run
 
 
-def stand_in(doc_id: Column, text: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.lit(NAMELESS) - F.abs(F.shiftright(F.xxhash64(text.cast("string")), 1)))
+def element_sets(nodes: DataFrame, forms: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(node, units) of nodes (node); texts: (k1, k2, text)."""
+    keys = forms.join(nodes.distinct().hint("shuffle_merge"), "node", "left_semi").select("node", "head.k1", "head.k2")
+    found = texts.join(keys.hint("shuffle_merge"), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
+    return common.written(found.mapInArrow(sets(size), "node long, units binary"), "op9-sets")
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row of docs: doc_id, class_id (the smallest id of its class), kept (whether it is that document), __sid."""
-    common.tuned(docs.sparkSession)
-    source = docs.select(stand_in(F.col(id_col), F.col(text_col)).alias("sid"), F.col(text_col).cast("string").alias("text"))
-    signed = common.written(source.mapInArrow(sign(shingle, bands, rows), "sid long, f1 long, f2 long, n long, bands array<long>"), "op9-signatures")
-    forms = common.written(signed.where("n > 0").groupBy("f1", "f2").agg(F.min("sid").alias("node"), F.max("n").alias("n"), F.first("bands").alias("bands")), "op9-forms")
+def verified(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, b) of nodes those at least so similar; found: (node, units) of them all."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).alias("m"))
+    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("m")).alias("salt"))
+    leaders = salted.select("a", "salt").distinct().join(found.hint("shuffle_merge"), F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "units")
+    members = salted.join(found.hint("shuffle_merge"), F.col("b") == F.col("node")).select("a", "salt", "b", "units")
+    rows = leaders.unionAll(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(compare(threshold), "a long, b long")
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, crowd: int = CROWD, unit: int = UNIT) -> DataFrame:
+    """Per row of docs: doc_id, class_id (the smallest id of its class), kept (whether it is the row that stays), and the
+    row's keys __k1, __k2."""
+    spark = common.tuned(docs.sparkSession)
+    key = common.row_keys(F.col(id_col), F.col(text_col).cast("string"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), key[1].alias("k2"), F.col(text_col).cast("string").alias("text"))
+    signed = common.written(source.mapInArrow(sign(shingle, bands, rows), "doc_id long, k2 long, node long, n long, bands array<long>"), "op9-signatures")
+    k1 = F.coalesce("doc_id", F.lit(-(2**63))).alias("k1")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), k1, "k2")).alias("head")
+    forms = common.written(signed.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), head, F.first("bands").alias("bands")), "op9-forms")
     members = forms.select("node", "n", F.explode("bands").alias("band"))
     order = F.xxhash64("node")
     lead = members.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct(order.alias("o"), "node", "n")).alias("lead")).where("m > 1")
@@ -177,36 +236,51 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     alike = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)
     first = shared.where((F.col("node") != F.col("leader")) & alike(F.col("n"), F.col("ln"))).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = common.written(first, "op9-pairs")
-    texts = source.withColumnRenamed("sid", "node")
-    links = verified(first, texts, shingle, threshold)
+    texts = source.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"), "k2", "text")
+    found = element_sets(first.select(F.col("a").alias("node")).unionAll(first.select("b")), forms, texts, shingle)
+    links = common.written(verified(first, found, threshold), "op9-links")
+    common.dropped(spark, found)
     roots = common.components(links)
     # bands that still hold several components: their members of different components
     label = shared.select("band", "node", "n").join(roots.hint("shuffle_merge"), "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
     label = common.written(label, "op9-labels")
-    several = label.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    rest = label.join(several, "band")
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & alike(F.col("x.n"), F.col("y.n")))
+    several = label.groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "m", "total")
+    rest = common.written(label.join(several.hint("shuffle_merge"), "band"), "op9-rest")
+    x, y = (rest.where(F.col("m") <= crowd).alias(side) for side in "xy")
+    pairs = x.join(y.hint("shuffle_merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & alike(F.col("x.n"), F.col("y.n")))
     pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = verified(common.written(pairs.join(tried, ["a", "b"], "left_anti"), "op9-pairs"), texts, shingle, threshold)
+    pairs = common.written(pairs.join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti"), "op9-pairs")
+    crowded = rest.where(F.col("m") > crowd)
+    found = element_sets(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(crowded.select("node")), forms, texts, shingle)
+    p = F.ceil(F.col("total") / unit).cast("int")
+    placed = crowded.withColumn("p", p).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("p")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    # a unit of two blocks holds either's rows; one of a single block serves the pairs within it
+    placed = placed.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root").join(found.hint("shuffle_merge"), "node")
+    blocks = placed.select("band", "i", "j", "mine", "node", "root", "units").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+    more = common.written(verified(pairs, found, threshold).unionAll(blocks.mapInArrow(compare_blocks(threshold), "a long, b long")), "op9-links")
+    for done in (found, shared, first, label, rest, pairs):
+        common.dropped(spark, done)
     if not more.isEmpty():
         roots = common.components(links.unionAll(more))
-    nodes = forms.select("f1", "f2", "node").join(roots, "node", "left").select("f1", "f2", F.coalesce("root", "node").alias("root"))
-    least = signed.join(nodes.hint("shuffle_merge"), ["f1", "f2"], "left").select("sid", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("sid")).alias("root"))
-    # a class led by a text without an id takes its smallest id
-    named = least.where(F.col("sid") > NAMELESS).groupBy("root").agg(F.min("sid").alias("class_id")).where(F.col("root") <= NAMELESS)
-    out = least.where(F.col("root") <= NAMELESS).join(named, "root", "left").select("sid", "class_id", "root").unionAll(least.where(F.col("root") > NAMELESS).select("sid", F.col("root").alias("class_id"), "root"))
-    unnamed = F.col("sid") <= NAMELESS
-    return out.select(F.when(~unnamed, F.col("sid")).alias("doc_id"), "class_id", F.coalesce(F.col("sid") == F.col("class_id"), F.col("sid") == F.col("root")).alias("kept"), F.col("sid").alias("__sid"))
+    nodes = forms.select("node", "head").join(roots.hint("shuffle_merge"), "node", "left").select("node", "head", F.coalesce("root", "node").alias("root"))
+    heads = nodes.groupBy("root").agg(F.min("head").alias("first"))
+    nodes = nodes.select("node", "root").join(heads.hint("shuffle_merge"), "root").select("node", "first")
+    out = signed.join(nodes.hint("shuffle_merge"), "node", "left").withColumn("k1", k1)
+    alone = F.col("first").isNull()
+    mine = (F.col("k1") == F.col("first.k1")) & F.col("k2").eqNullSafe(F.col("first.k2")) & (F.col("doc_id").isNull() == F.col("first.nameless"))
+    class_id = F.when(alone, F.col("doc_id")).when(~F.col("first.nameless"), F.col("first.k1"))
+    return out.select("doc_id", class_id.alias("class_id"), (alone | mine).alias("kept"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, with all columns, one of each class."""
-    kept = classes(docs, id_col=id_col, text_col=text_col, **options).where("kept").select("__sid").distinct()
-    rows = docs.withColumn("__sid", stand_in(F.col(id_col), F.col(text_col)))
-    return rows.join(kept.hint("shuffle_merge"), "__sid", "left_semi").dropDuplicates(["__sid"]).drop("__sid")
+    names = common.free(docs.columns, "__k1", "__k2")
+    kept = classes(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(*(F.col(k).alias(name) for k, name in zip(("__k1", "__k2"), names))).distinct()
+    keys = common.row_keys(F.col(id_col), F.col(text_col).cast("string"))
+    rows = docs.withColumns(dict(zip(names, keys)))
+    return rows.join(kept.hint("shuffle_merge"), names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(common.table(spark, sf_dir, "documents")).drop("__sid")
+    return classes(common.table(spark, sf_dir, "documents")).drop("__k1", "__k2")

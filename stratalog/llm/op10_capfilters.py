@@ -1,14 +1,18 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
 A filter is a direction with a cap round it. Vectors are first turned by a fixed random rotation, so that recall does
-not depend on how they spread over the coordinates (without it, it was 0.15 to 0.66 in the tests' vectors of zeros in half of them).
-The directions are a product code: each of ``PARTS`` parts of the turned coordinates has ``CODES`` random unit codewords, and every combination is a direction, whose inner product with a vector
-is the sum of the parts' products. A vector is list-decoded to all filters that exceed its cap's inner product, which is
-set so that ``LISTED`` do: lists of the parts' best codewords are merged, and only ranks whose product is at most
-``LISTED`` can be among the best sums. A cap of one inner product for all vectors was tried: the lists' lengths then
-vary so much (most are empty, some hold over a thousand) that recall was 0.04 in the supplied tables; with caps set by
-the list it is 1.0 there, and 0.9998 for random pairs at exactly 0.98 (tests measure it). Vectors of one label that
-share a filter are compared by cosine in double precision.
+not depend on how they spread over the coordinates (without it, it was 0.15 to 0.66 in the tests' vectors of zeros in half
+of them). The directions are a product code: each part of the turned coordinates has random unit codewords, and every
+combination is a direction, whose inner product with a vector is the sum of the parts' products. A vector is list-decoded
+to all filters that exceed its cap's inner product, which is set so that a fixed number do: lists of the parts' best
+codewords are merged, and only ranks whose product is at most that number can be among the best sums. A cap of one inner
+product for all vectors was tried: the lists' lengths then vary so much (most are empty, some hold over a thousand) that
+recall was 0.04 in the supplied tables; with caps set by the list it is 1.0 there. Vectors of one label that share a filter
+are compared by cosine in double precision.
+
+The code grows with the vectors (``size_of_code``), so that a filter holds about one vector by chance at any size: two parts
+of 1,024 codewords up to 65,536 vectors, three parts beyond. Of random pairs at exactly 0.98 these filters find 0.999 or
+more (tests measure it for each size of the code).
 
 Equal vectors of a label are one node with a multiplicity. Filters with one node are dropped before any vector moves.
 The nodes of a filter are compared as blocks of matrices of at most about ``UNIT`` rows; a crowded filter is split into
@@ -35,19 +39,28 @@ from . import common
 from .texts import U, mixed
 
 COSINE = 0.98
-PARTS, CODES, LISTED = 2, 1024, 16
 UNIT = 1024
+#: Rows of small units that are compared together.
+JOINT = 512
 SEED = 71
 
 
+def size_of_code(n: int) -> tuple[int, int, int]:
+    """Parts, codewords a part, and filters a vector, for n vectors: at least as many filters as vectors are listed in."""
+    parts, least, listed = (2, 1 << 10, 16) if n <= 1 << 16 else (3, 1 << 8, 32)
+    bits = max(least.bit_length() - 1, -(-(max(1, n) * listed - 1).bit_length() // parts))
+    return parts, 1 << min(bits, 13), listed
+
+
 class Code:
-    """A product code for vectors of d coordinates; of one part where two would have fewer than eight each."""
+    """A product code for vectors of d coordinates; of fewer parts where they would have fewer than eight each."""
 
-    def __init__(self, d: int, listed: int):
+    def __init__(self, d: int, size: tuple[int, int, int]):
         rng = np.random.Generator(np.random.PCG64(SEED))
-        self.parts, self.words, self.listed = np.array_split(np.arange(d), min(PARTS, max(1, d // 8))), [], listed
+        parts, self.codes, self.listed = size
+        self.parts, self.words = np.array_split(np.arange(d), min(parts, max(1, d // 8))), []
         for part in self.parts:
-            words = rng.standard_normal((CODES, len(part)))
+            words = rng.standard_normal((self.codes, len(part)))
             self.words.append(words / np.linalg.norm(words, axis=1, keepdims=True))
         q, r = np.linalg.qr(rng.standard_normal((d, d)))
         self.turn = q * np.sign(np.diag(r))
@@ -68,13 +81,13 @@ class Code:
             ranks = [(i, j) for i in range(total.shape[1]) for j in range(value.shape[1]) if (i + 1) * (j + 1) <= self.listed]
             a, b = np.array(ranks).T
             total, at = self.best(total[:, a] + value[:, b])
-            code = np.take_along_axis(code[:, a] * CODES + word[:, b], at, 1)
+            code = np.take_along_axis(code[:, a] * self.codes + word[:, b], at, 1)
         return code
 
 
 @lru_cache(8)
-def code_for(d: int, listed: int) -> Code:
-    return Code(d, listed)
+def code_for(d: int, size: tuple[int, int, int]) -> Code:
+    return Code(d, size)
 
 
 def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -113,7 +126,7 @@ def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64), mask=~use), batch.column(1), pa.array(rows, pa.binary())], ["vec_id", "node", "label", "v"])
 
 
-def filters(listed: int):
+def filters(code_size: tuple[int, int, int]):
     """(node, label, v) to (node, bucket): a bucket is a filter of a label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +140,7 @@ def filters(listed: int):
                 for s in range(0, len(own), 512):
                     part = own[s : s + 512]
                     x = np.frombuffer(b"".join(raw[i] for i in part), np.float64).reshape(len(part), -1)
-                    code = code_for(size // 8, listed).decode(x)
+                    code = code_for(size // 8, code_size).decode(x)
                     row = np.repeat(part, code.shape[1])
                     bucket = mixed(mixed(label[row] + U(size)) ^ code.ravel().astype(np.uint64))
                     yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(bucket.view(np.int64))], ["node", "bucket"])
@@ -138,57 +151,77 @@ def filters(listed: int):
 def compare(least: float):
     """Rows (bucket, i, j, mine, node, copies, buckets, v), sorted by unit, to (node, links, root)."""
 
-    def solve(rows: list[tuple], cross: bool) -> pa.RecordBatch:
-        mine = np.array([r[3] for r in rows])
-        node = np.array([r[4] for r in rows], np.int64)
-        copies = np.array([r[5] for r in rows], np.int64)
-        x = np.frombuffer(b"".join(r[7] for r in rows), np.float64).reshape(len(rows), -1)
-        near = x @ x.T >= least
+    def solve(rows: pa.Table, unit: np.ndarray) -> pa.RecordBatch:
+        """Whole units together; unit: the number of each row's."""
+        n = rows.num_rows
+        bucket, i, j, mine, node, copies = (rows.column(c).to_numpy() for c in range(6))
+        lists, raw = rows.column(6).combine_chunks(), rows.column(7).to_pylist()
+        sizes = np.array([len(r) for r in raw])
+        near = np.zeros((n, n), bool)
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            x = np.frombuffer(b"".join([raw[k] for k in own]), np.float64).reshape(len(own), -1)
+            near[np.ix_(own, own)] = x @ x.T >= least
+        near &= unit[:, None] == unit[None, :]
         np.fill_diagonal(near, False)
-        lists = [np.array([b for b in r[6] if b < rows[0][0]], np.int64) for r in rows]
-        owner = np.repeat(np.arange(len(rows)), [len(b) for b in lists])
-        names, at = np.unique(np.concatenate(lists), return_inverse=True)
-        order = np.argsort(at, kind="stable")  # pairs that share a lesser bucket are counted there
-        counted = near.copy()
-        for own in np.split(owner[order], np.cumsum(np.bincount(at, minlength=len(names)))[:-1]) if len(names) else ():
-            if len(own) > 1:
-                counted[np.ix_(own, own)] = False
-        if cross:
-            counted &= mine[:, None] != mine[None, :]
+        # pairs that share a lesser bucket are counted there
+        off = lists.offsets.to_numpy()
+        owner, other = np.repeat(np.arange(n), np.diff(off)), lists.values.to_numpy()[off[0] : off[-1]]
+        lesser = other < bucket[owner]
+        owner, other = owner[lesser], other[lesser]
+        _, name, often = np.unique(mixed(other.view(np.uint64) ^ mixed(unit[owner].astype(np.uint64) + U(1))), return_inverse=True, return_counts=True)
+        owner, name = owner[often[name] > 1], (np.cumsum(often > 1) - 1)[name[often[name] > 1]]
+        member = np.zeros((n, int((often > 1).sum())), np.float32)
+        member[owner, name] = 1
+        counted = near & ~(member @ member.T > 0)
+        counted &= ~((i != j)[:, None] & (mine[:, None] == mine[None, :]))
         links = counted @ copies
-        root = np.arange(len(rows))
+        root = np.arange(n)
         while True:  # the least place reachable
-            new = np.minimum(root, np.where(near, root[None, :], len(rows)).min(1, initial=len(rows)))
+            new = np.minimum(root, np.where(near, root[None, :], n).min(1, initial=n))
             new = new[new]
             if (new == root).all():
                 break
             root = new
-        use = (links > 0) | (root != np.arange(len(rows)))
+        use = (links > 0) | (root != np.arange(n))
         return pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(links[use].astype(np.int64)), pa.array(node[root[use]])], ["node", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: pa.Table | None = None
+
+        def whole(rows: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
+            """The results of all whole units, and the rows of the one that may go on."""
+            key = np.stack([rows.column(c).to_numpy() for c in range(3)])
+            unit = np.cumsum(np.r_[0, (key[:, 1:] != key[:, :-1]).any(0)]) if rows.num_rows else np.zeros(0, int)
+            edge = np.flatnonzero(np.r_[True, np.diff(unit) > 0, True]) if len(unit) else np.zeros(1, int)
+            done, out, ends = 0, [], edge[1:] if last else edge[1:-1]
+            for k, end in enumerate(ends.tolist()):
+                if k + 1 == len(ends) or ends[k + 1] - done > JOINT:
+                    if end - done > 1:
+                        out.append(solve(rows.slice(done, end - done), unit[done:end]))
+                    done = end
+            return out, rows.slice(done)
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:3] != held[0][:3]:
-                    if len(held) > 1:
-                        yield solve(held, held[0][1] != held[0][2])
-                    held = []
-                held.append(row)
-        if len(held) > 1:
-            yield solve(held, held[0][1] != held[0][2])
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if held.num_rows >= 2 * JOINT:
+                out, held = whole(held, False)
+                yield from out
+        if held is not None:
+            yield from whole(held, True)[0]
 
     return run
 
 
-def near(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, listed: int = LISTED, unit: int = UNIT) -> DataFrame:
-    """Per row of vectors: vec_id, n_links, component_id, kept."""
+def near(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, code: tuple[int, int, int] | None = None, unit: int = UNIT) -> DataFrame:
+    """Per row of vectors: vec_id, n_links, component_id, kept. The code is sized by the distinct vectors, if not given."""
     common.tuned(vectors.sparkSession)
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = common.written(source.mapInArrow(prepare, "vec_id long, node long, label long, v binary"), "op10-rows")
     nodes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v"))
     nodes = common.written(nodes, "op10-nodes")
-    member = nodes.select("node", "label", "v").mapInArrow(filters(listed), "node long, bucket long")
+    member = nodes.select("node", "label", "v").mapInArrow(filters(code or size_of_code(nodes.count())), "node long, bucket long")
     crowd = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     shared = common.written(member.join(crowd.hint("shuffle_merge"), "bucket"), "op10-members")
     lists = shared.groupBy("node").agg(F.collect_list(F.struct("bucket", "m")).alias("b"))
@@ -200,6 +233,7 @@ def near(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     units = full.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "copies", "buckets", "v")
     found = units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(compare(cosine), "node long, links long, root long")
     found = common.written(found, "op10-links")
+    common.dropped(vectors.sparkSession, shared)
     roots = common.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     whole = nodes.select("node", "copies", "least").join(counts, "node", "left").join(roots, "node", "left").select("node", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))

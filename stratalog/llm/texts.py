@@ -85,11 +85,12 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
 PLACE = 26
 
 
-def chosen(hashes: np.ndarray, w: int) -> np.ndarray:
+def chosen(hashes: np.ndarray, w: int, most: int = (1 << PLACE) - 1) -> np.ndarray:
     """For each window of w hashes the place of its least one, the last of equal ones: equal windows choose alike."""
+    if len(hashes) > most:  # overlapping stretches, whose windows choose as they do in the whole
+        step = max(1, most - w + 1)
+        return np.concatenate([chosen(hashes[s : s + step + w - 1], w, max(most, step + w - 1)) + s for s in range(0, len(hashes) - w + 1, step)])
     mask = U((1 << PLACE) - 1)
-    if len(hashes) > int(mask):
-        raise ValueError("more than 2**26 hashes in a block")
     keys = (hashes & ~mask) | (mask - np.arange(len(hashes), dtype=np.uint64))
     return (mask - (sliding_min(keys, w) & mask)).astype(np.int64)
 

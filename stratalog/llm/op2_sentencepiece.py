@@ -6,8 +6,13 @@ of text is a matrix from states to states, a state being how far the piece that
 stretches combine by matrix products. Long texts are cut to chunks of about ``CHUNK`` characters, each a row of its own:
 
 1. every chunk gives its boundary-state transfer matrix,
-2. a text's matrices are combined by an associative prefix scan, which yields the state at each boundary,
-3. every chunk is traced back by itself between its two states.
+2. a text's matrices are combined by an associative prefix scan, which yields the best score of each state at each
+   boundary,
+3. every chunk traces back from each of its exit states, given its entry states' scores, to the entry state it comes from;
+   these maps, composed from the end, give the state at each boundary,
+4. every chunk is traced back by itself from its exit state.
+
+Step 3 makes ties fall as they do without chunks: ids don't depend on ``chunk``. It is left out where a boundary has one state.
 
 No piece reaches from a word into the blank after it, so the path passes the start of every run of blanks: chunks end
 there if they can and have one state then, and the inner words of any text are looked up in a bounded memo.
@@ -174,12 +179,11 @@ class Pieces(dict):
                 out.append((at, self.longest))
         return out
 
-    def forward(self, text: str, body: int, states: int, entry: int | None = None):
-        """Best scores at every place from each entry state; places at body or later are exits and have no arcs."""
-        rows = range(states) if entry is None else [entry]
-        score = np.full((body + self.longest + 1, len(rows)), LOW, np.int64)
-        for column, r in enumerate(rows):
-            score[r, column] = 0
+    def forward(self, text: str, body: int, entry: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+        """Best scores at every place, a column a column of entry (scores of the entry states); how each place of the first
+        column is reached best, if not by an entry. Places at body or later are exits and have no arcs."""
+        score = np.full((body + self.longest + 1, entry.shape[1]), LOW, np.int64)
+        score[: len(entry)] = entry
         back = {}
         for at in range(body):
             here = score[at]
@@ -187,27 +191,44 @@ class Pieces(dict):
                 continue
             for end, s, piece in self.arcs(text, at):
                 new = here + s
-                better = new > score[end]
+                better = (new > score[end]) & (here > LOW // 2)
                 if better.any():
-                    score[end] = np.where(better & (here > LOW // 2), new, score[end])
-                    back[end] = (at, piece)
+                    score[end] = np.where(better, new, score[end])
+                    if better[0]:
+                        back[end] = (at, piece)
         return score, back
 
     def transfer(self, text: str, body: int, states: int, exits: int) -> np.ndarray:
         """The max-plus matrix of a chunk: text's first body characters, followed by what pieces may reach into."""
-        score, _ = self.forward(text, body, states)
+        entry = np.full((states, states), LOW, np.int64)
+        np.fill_diagonal(entry, 0)
+        score, _ = self.forward(text, body, entry)
         out = score[body : body + exits].T.copy()
         out[out < LOW // 2] = LOW
         return out
 
-    def trace(self, text: str, body: int, entry: int, leave: int) -> bytes:
-        _, back = self.forward(text, body, 0, entry)
+    def trace(self, text: str, body: int, entry: list[int], leave: int) -> tuple[int, bytes]:
+        """The entry state that the best path to an exit state comes from, given the entry states' scores, and its ids."""
+        _, back = self.forward(text, body, np.array(entry, np.int64)[:, None])
         out, at = [], body + leave
-        while at > entry:
+        while at in back:
             start, piece = back[at]
             out.append(self.ids(text, start, piece))
             at = start
-        return b"".join(reversed(out))
+        return at, b"".join(reversed(out))
+
+    def entries(self, text: str, body: int, entry: list[int], exits: int) -> list[int]:
+        """trace()'s entry state for each exit state; -1 for one that no path reaches."""
+        score, back = self.forward(text, body, np.array(entry, np.int64)[:, None])
+        out = []
+        for at in range(body, body + exits):
+            if score[at, 0] <= LOW // 2:
+                out.append(-1)
+                continue
+            while at in back:
+                at = back[at][0]
+            out.append(at)
+        return out
 
 
 def swapped(text: str) -> str:
@@ -229,16 +250,18 @@ def prefixes(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
-def states_of(matrices: list[np.ndarray], width: int) -> list[int]:
-    """The state of the best path at each boundary, first and last included."""
+def entry_scores(matrices: list[np.ndarray]) -> list[list[int]]:
+    """The best score of each entry state of each chunk over all of the text before it; the greatest is 0."""
+    width = max(max(m.shape) for m in matrices)
     stack = np.full((len(matrices), width, width), LOW, np.int64)
     for at, m in enumerate(matrices):
         stack[at, : m.shape[0], : m.shape[1]] = m
     upto = prefixes(stack)
-    out = [0]
-    for at in range(len(matrices) - 1, 0, -1):
-        out.append(int(np.argmax(upto[at - 1][0] + stack[at][:, out[-1]])))
-    return [0, *reversed(out)]
+    out = [[0]]
+    for at in range(1, len(matrices)):
+        v = upto[at - 1][0][: matrices[at].shape[0]]
+        out.append(np.where(v > LOW // 2, v - v.max(), LOW).tolist())
+    return out
 
 
 def model_bytes(path: str) -> bytes:
@@ -272,13 +295,24 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     cut = common.written(cut.repartition("__k1", "__k2", "at"), "op2-chunks")
     matrices = cut.mapInArrow(transfers(shared), "__k1 long, __k2 long, at int, states int, exits int, m array<long>")
     lists = matrices.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list(F.struct("at", "states", "exits", "m"))).alias("ms"))
-    ways = lists.mapInArrow(scan(shared), "__k1 long, __k2 long, at int, entry int, leave int")
+    scored = common.written(lists.mapInArrow(scan, "__k1 long, __k2 long, at int, exits int, entry array<long>"), "op2-scores")
+    several = scored.where(F.size("entry") > 1).select("__k1", "__k2", "at", "entry")
+    maps = cut.join(several, ["__k1", "__k2", "at"]).select("__k1", "__k2", "at", "body", "exits", "entry", "part").mapInArrow(leads(shared), "__k1 long, __k2 long, at int, to array<int>")
+    maps = maps.unionAll(scored.where(F.size("entry") == 1).select("__k1", "__k2", "at", F.array_repeat(F.lit(0), F.col("exits"))))
+    ways = maps.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("maps")).mapInArrow(walk, "__k1 long, __k2 long, at int, leave int")
+    ways = ways.join(scored.select("__k1", "__k2", "at", "entry"), ["__k1", "__k2", "at"])
     traced = cut.join(ways, ["__k1", "__k2", "at"]).select("__k1", "__k2", "at", "body", "entry", "leave", "part").mapInArrow(traces(shared), "__k1 long, __k2 long, at int, ids binary")
-    whole = traced.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts")).select("__k1", "__k2", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
-    joined = keyed.drop("__text").join(whole, ["__k1", "__k2"]).drop("__k1", "__k2").withColumn("n_tokens", (F.octet_length("ids") / 2).cast("long"))
+    whole = traced.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts")).mapInArrow(join_parts, "__k1 long, __k2 long, ids binary")
+    joined = keyed.drop("__text").join(whole.hint("shuffle_merge"), ["__k1", "__k2"]).drop("__k1", "__k2").withColumn("n_tokens", (F.octet_length("ids") / 2).cast("long"))
     return short.unionByName(joined.select(short.columns))
 
 
+def join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [b"".join(p["ids"] for p in parts) for parts in batch.column("parts").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["__k1", "__k2", "ids"])
+
+
 def encode_rows(shared, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(shared.value)
@@ -339,18 +373,43 @@ def transfers(shared):
     return run
 
 
-def scan(shared):
+def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k1, k2, ms in zip(*(c.to_pylist() for c in batch.columns)):
+            entry = entry_scores([np.array(m["m"], np.int64).reshape(m["states"], m["exits"]) for m in ms])
+            n = len(ms)
+            yield pa.RecordBatch.from_arrays([pa.array([k1] * n), pa.array([k2] * n), pa.array(range(n), pa.int32()), pa.array([m["exits"] for m in ms], pa.int32()), pa.array(entry, pa.list_(pa.int64()))], ["__k1", "__k2", "at", "exits", "entry"])
+
+
+def leads(shared):
+    """Each chunk's entry states by exit state."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = pieces(shared.value).longest
+        p = pieces(shared.value)
         for batch in batches:
-            for k1, k2, ms in zip(*(c.to_pylist() for c in batch.columns)):
-                way = states_of([np.array(m["m"], np.int64).reshape(m["states"], m["exits"]) for m in ms], width)
-                n = len(ms)
-                yield pa.RecordBatch.from_arrays([pa.array([k1] * n), pa.array([k2] * n), pa.array(range(n), pa.int32()), pa.array(way[:-1], pa.int32()), pa.array(way[1:], pa.int32())], ["__k1", "__k2", "at", "entry", "leave"])
+            out = []
+            for body, exits, entry, raw in zip(*(batch.column(c).to_pylist() for c in ("body", "exits", "entry", "part"))):
+                first, _ = split_units(p, raw, body, False)
+                part = swapped(raw)
+                # a place that every path passes has one entry state behind it
+                out.append([p.trace(part[:first], first, entry, 0)[0]] * exits if first < body else p.entries(part, body, entry, exits))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("__k1", "__k2", "at")), pa.array(out, pa.list_(pa.int32()))], ["__k1", "__k2", "at", "to"])
 
     return run
 
 
+def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exit state of each chunk, from the end of its text."""
+    for batch in batches:
+        for k1, k2, maps in zip(*(c.to_pylist() for c in batch.columns)):
+            state, way = 0, []
+            for m in reversed(maps):
+                way.append(state)
+                state = m["to"][state]
+            n = len(maps)
+            yield pa.RecordBatch.from_arrays([pa.array([k1] * n), pa.array([k2] * n), pa.array(range(n), pa.int32()), pa.array(way[::-1], pa.int32())], ["__k1", "__k2", "at", "leave"])
+
+
 def traces(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(shared.value)
@@ -358,15 +417,15 @@ def traces(shared):
             out = []
             for body, entry, leave, raw in zip(*(batch.column(c).to_pylist() for c in ("body", "entry", "leave", "part"))):
                 part = swapped(raw)
-                first, last = split_units(p, raw, body, entry == 0 and raw[:1] == " ")
-                if first < body and entry <= first:
-                    head = p.trace(part[:first], first, entry, 0)
+                first, last = split_units(p, raw, body, len(entry) == 1)
+                if first < body:
+                    head = p.trace(part[:first], first, entry, 0)[1]
                     units = p.units.findall(raw[first:last])
                     p.learn(set(units))
                     middle = b"".join(map(p.__getitem__, units))
-                    out.append(head + middle + p.trace(part[last:], body - last, 0, leave))
+                    out.append(head + middle + p.trace(part[last:], body - last, [0], leave)[1])
                 else:
-                    out.append(p.trace(part, body, entry, leave))
+                    out.append(p.trace(part, body, entry, leave)[1])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("__k1", "__k2", "at")), pa.array(out, pa.binary())], ["__k1", "__k2", "at", "ids"])
 
     return run

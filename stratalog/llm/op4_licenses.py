@@ -35,26 +35,42 @@ BANDS = 64
 CONTAINED = 0.8
 PART_BYTES = 8 << 20
 
-#: Notices by SPDX id; several may stand for one license.
+#: Notices and bodies by SPDX id; several may stand for one license.
 TEMPLATES = [
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy " "of this software and associated documentation files"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "you may not use this file except in compliance with the License"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-3.0", "it under the terms of the GNU General Public License as published by " "the Free Software Foundation, either version 3 of the License"),
     ("GPL-2.0", "it under the terms of the GNU General Public License as published by " "the Free Software Foundation; either version 2 of the License"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC0-1.0", "has waived all copyright and related or neighboring rights to this work under the CC0 1.0 Universal Public Domain Dedication"),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without " "modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for " "any purpose with or without fee is hereby granted"),
+    ("ISC", "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1"),
 ]
 
 
@@ -140,7 +156,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     key = common.row_keys(F.col(id_col), F.col(text_col))
     source = docs.select(*key, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if len(shares) == 1:
-        return source.select("doc_id", "text").mapInArrow(look(spark, shares[0], shingle, contained), RESULT)
+        return source.select("doc_id", "text").mapInArrow(look(spark, shares[0], shingle, contained, True), RESULT)
+    # which match is the fullest shows when those of all passes are together
     first = source.mapInArrow(look(spark, shares[0], shingle, contained), "__k1 long, __k2 long, " + RESULT)
     rest = None
     for share in shares[1:]:
@@ -154,7 +171,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     return kept.select("doc_id", "n_words", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))).alias("licenses"), "matches")
 
 
-def look(spark: SparkSession, templates: list[tuple[str, str]], shingle: int, contained: float):
+def look(spark: SparkSession, templates: list[tuple[str, str]], shingle: int, contained: float, alone: bool = False):
     shared = spark.sparkContext.broadcast(Templates(templates, shingle))
     kind = pa.list_(pa.struct([("license", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("contained", pa.float64())]))
 
@@ -174,7 +191,8 @@ def look(spark: SparkSession, templates: list[tuple[str, str]], shingle: int, co
                         continue
                     last[text, template] = row
                     found[text].append(row)
-                found = [fullest(ms) if len(ms) > 1 else ms for ms in found]
+                if alone:
+                    found = [fullest(ms) if len(ms) > 1 else ms for ms in found]
                 names = [sorted({m["license"] for m in ms}) for ms in found]
                 columns = [*(batch.column(c).slice(i, j - i) for c in batch.schema.names if c != "text"), pa.array(np.diff(words.first)), pa.array(names, pa.list_(pa.string())), pa.array(found, kind)]
                 yield pa.RecordBatch.from_arrays(columns, [*(c for c in batch.schema.names if c != "text"), "n_words", "licenses", "matches"])
@@ -186,25 +204,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(common.table(spark, sf_dir, "documents"))
     best = F.aggregate("matches", F.lit(0.0), lambda a, m: F.greatest(a, m["contained"]))
     return found.select("doc_id", "n_words", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"), F.size("matches").cast("long").alias("n_matches"), best.alias("contained"))
-
-
-def brute(text: str | None, templates: list[tuple[str, str]], shingle: int = SHINGLE, contained: float = CONTAINED) -> list[str]:
-    """The ids of the templates that some window holds, looking at every window; for tests."""
-    import re
-
-    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
-    words, found = split(text), []
-    for name, template in templates:
-        t = split(template)
-        if not t:
-            continue
-        k = min(shingle, len(t))
-        wanted = {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
-        size = 1 << max(0, len(t) - k).bit_length()
-        grams = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
-        for s in range(0, len(grams), size):
-            at = [i for i in range(s, min(s + 2 * size, len(grams))) if grams[i] in wanted]
-            share = len({grams[i] for i in at}) / len(wanted)
-            if share >= contained:
-                found.append({"license": name, "first": at[0], "last": at[-1] + k - 1, "contained": share})
-    return sorted({m["license"] for m in fullest(found)})

@@ -48,6 +48,8 @@ CUES = r"(?i)(?:tel|phone|call|fax|mobile|mail|contact|card|visa|account|ip|host
 #: Features that a generator's label looks at.
 WITHHELD = {"spelled_email": ("digits", "cue", "marks"), "secret": ("digits", "cue")}
 ENTROPY = 3.0
+#: Characters of a text that are cut together.
+BLOCK = 1024
 VECTORS = 20_000
 ROUNDS, RATE = 40, 0.3
 PRECISION = 0.9
@@ -208,12 +210,12 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     least = F.lit(None).cast("double")
     for gen, value in thresholds.items():
         least = F.when(F.col("f.gen") == gen, F.lit(value)).otherwise(least)
-    scored = found.withColumn("score", F.when(F.col("base"), F.lit(math.inf)).otherwise(trees.column("f"))).where(F.col("base") | (F.col("score") >= least))
-    # spans that touch form an island; base ones stay, else the best scored one does
-    order = Window.partitionBy("k1", "k2").orderBy("start", "end", "kind")
+    scored = found.withColumn("score", F.when(F.col("base"), F.lit(math.inf)).otherwise(trees.column("f"))).where(F.col("base") | F.col("free") & (F.col("score") >= least))
+    # added spans that overlap form an island, of which the best scored one stays; none overlaps a base span
+    order = Window.partitionBy("k1", "k2", "base").orderBy("start", "end", "kind")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum((F.coalesce(reach, F.lit(-1)) <= F.col("start")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rank = F.row_number().over(Window.partitionBy("k1", "k2", "island").orderBy(F.col("score").desc(), (F.col("start") - F.col("end")), "start", "kind"))
+    rank = F.row_number().over(Window.partitionBy("k1", "k2", "base", "island").orderBy(F.col("score").desc(), (F.col("start") - F.col("end")), "start", "kind"))
     kept = scored.withColumn("island", island).withColumn("rank", rank).where(F.col("base") | (F.col("rank") == 1))
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     return kept.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct(number.alias("k"), "start", "end", "base"))).alias("spans")), source
@@ -223,19 +225,40 @@ def named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def between(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters of a text in blocks of BLOCK from start to end; only the blocks that they lie in are touched."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    text = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substring(text, (start - first * BLOCK + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, in whose texts each span is replaced by its kind in brackets."""
+    """The rows of docs, with all columns, in whose texts each span is replaced by its kind in brackets.
+
+    A text with spans is cut to blocks once, and each piece between spans taken from the blocks that it lies in, so the
+    work grows with the text and not with text times spans.
+    """
     found, _ = spans(docs, id_col=id_col, text_col=text_col)
-    keyed = docs.select("*", *common.row_keys(F.col(id_col), F.col(text_col)))
-    joined = keyed.join(found.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "spans": "__spans"}).hint("shuffle_merge"), ["__k1", "__k2"], "left")
-    text = F.col(text_col)
-    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["k"].alias("k"))))
+    k1, k2, name = common.free(docs.columns, "__k1", "__k2", "__spans")
     # base spans of different kinds may overlap: the later one then starts where the earlier one ends
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("upto"))
+    flat = found.select("k1", "k2", F.inline("spans"))
+    order = Window.partitionBy("k1", "k2").orderBy("start", "end", "k")
+    before = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = flat.withColumn("upto", before).groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2))
+    placed = placed.agg(F.array_sort(F.collect_list(F.struct("start", "end", "k", "upto"))).alias("list"), F.max("end").alias("last")).select(k1, k2, F.struct("list", "last").alias(name))
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(common.row_keys(F.col(id_col), F.col(text_col)), (k1, k2))))
+    joined = keyed.join(placed.hint("shuffle_merge"), [k1, k2], "left")
+    blocks = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
     tag = lambda k: F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), k)), F.lit("]"))
-    step = lambda a, s: F.struct(F.concat(a["text"], F.substring(text, a["upto"] + 1, F.greatest(s["start"] - a["upto"], F.lit(0))), F.when(s["end"] > a["upto"], tag(s["k"])).otherwise("")).alias("text"), F.greatest(a["upto"], s["end"]).alias("upto"))
-    done = F.aggregate(ordered, start, step, lambda a: F.concat(a["text"], F.substring(text, a["upto"] + 1, F.char_length(text))))
-    return joined.withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text)).select(docs.columns)
+
+    def cut(b: Column) -> Column:
+        piece = lambda s: F.concat(between(b, s["upto"], s["start"]), F.when(s["end"] > s["upto"], tag(s["k"])).otherwise(""))
+        end = F.col(f"{name}.last")
+        return F.concat(F.array_join(F.transform(F.col(f"{name}.list"), piece), ""), between(b, end, F.char_length(text_col)))
+
+    # a one-element transform names the blocks, which are else made anew for each piece
+    done = F.element_at(F.transform(F.array(blocks), cut), 1)
+    return joined.withColumn(text_col, F.when(F.col(name).isNotNull(), done).otherwise(F.col(text_col))).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,16 +268,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter(everything, lambda s: s["base"])
     count = lambda k: F.size(F.filter(base, lambda s: s["k"] == k + 1)).cast("long")
     return joined.select("doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(named(base), 256).alias("base_sha256"), named(everything).alias("spans"))
-
-
-def brute(text: str | None) -> list[tuple[str, int, int]]:
-    """The base spans by Python's regular expressions; for tests."""
-    text, out = text or "", []
-    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-    for kind, pattern in patterns.items():
-        for m in re.finditer(pattern, text):
-            d = re.sub("[^0-9]", "", m[0])
-            double = [int(x) * (1 + i % 2) for i, x in enumerate(reversed(d))]
-            if {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else False, "card": 16 <= len(d) <= 19 and sum(x - 9 * (x > 9) for x in double) % 10 == 0, "phone": 8 <= len(d) <= 15}[kind]:
-                out.append((kind, m.start(), m.end()))
-    return out

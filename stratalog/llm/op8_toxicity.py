@@ -5,8 +5,10 @@ words that tell toxic documents apart in the sample. The table of labels has no
 by how many of its words are such words: 1 up to the median of toxic documents, 2 above it. A document's severity is
 the expected grade; it is toxic if P(grade >= 1) reaches ``CUT``.
 
-The model is fitted by one task on at most ``SAMPLE`` labelled documents, those with the least hashes of their ids, of
-distinct texts; it has at most ``FEATURES`` words and is broadcast, at most 100 KB. Scoring reads each text in place.
+The model learns from at most ``SAMPLE`` labelled documents, those with the least hashes of their ids. Their words are
+counted by the cluster; the at most ``FEATURES`` words that tell best are features, so what the driver fits on is at most
+that many counts a document. A word needs ``LEAST`` documents at any size of the sample; texts of equal words count once,
+toxic if any of them is. Scoring reads each text in place.
 
 Labels with a null id or null toxic are left out; an id with several labels takes the highest. Without labels of both
 kinds no weights are fitted and nothing is toxic. A null or wordless text has no features. Repeated rows score alike.
@@ -15,7 +17,6 @@ Only the named columns are looked at.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .texts import WORD, Words, blocks
+from .texts import WORD, Rolling, Words, blocks
 
 SAMPLE = 20_000
 FEATURES = 4_000
@@ -57,47 +58,27 @@ class Model:
         return 1 - sigmoid(self.thresholds[None, :] - scores[:, None])
 
 
-def fit(texts: list[np.ndarray], toxic: np.ndarray) -> Model:
-    """texts: the word hashes of each document."""
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0] * (GRADES - 1)))
-    n = len(texts)
-    if not n or toxic.all() or not toxic.any():
-        return none
-    owner = np.repeat(np.arange(n), [len(t) for t in texts])
-    words, word = np.unique(np.concatenate(texts), return_inverse=True)
-    pair, count = np.unique(owner * max(1, len(words)) + word, return_counts=True)
-    owner, word = pair // max(1, len(words)), pair % max(1, len(words))
-    df, bad = np.bincount(word, minlength=len(words)), np.bincount(word, toxic[owner], len(words))
-    share = toxic.mean()
-    z = (bad - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
-    # words that occur in a handful of documents only tell those apart; copies with small changes make many of them
-    z[(df < max(LEAST, n // 1000))] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    best = np.sort(best[np.abs(z[best]) >= Z])
-    if not len(best):
-        return none
-    column = np.full(len(words), -1)
-    column[best] = np.arange(len(best))
-    own = column[word] >= 0
-    owner, x, column = owner[own], np.log1p(count[own]), column[word[own]]
-    hits = np.bincount(owner, (z[best] > 0)[column] * count[own], n)
+def nothing() -> Model:
+    return Model(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0] * (GRADES - 1)))
+
+
+def fit(words: np.ndarray, telling: np.ndarray, toxic: np.ndarray, owner: np.ndarray, column: np.ndarray, count: np.ndarray) -> Model:
+    """words: the features' hashes, in order, and which tell toxic documents; toxic: a label a document; then the counts
+    of features in documents, by document and feature."""
+    n = len(toxic)
+    if not n or toxic.all() or not toxic.any() or not len(words):
+        return nothing()
+    x = np.log1p(count)
+    hits = np.bincount(owner, telling[column] * count, n)
     median = np.median(hits[(toxic > 0) & (hits > 0)]) if ((toxic > 0) & (hits > 0)).any() else 0
     grade = toxic.astype(int) + ((toxic > 0) & (hits > median))
     used = [k for k in range(1, GRADES) if (grade >= k).any()]
-    w, cut = np.zeros(len(best)), np.array([np.log((grade < k).mean() / (grade >= k).mean()) for k in used])
+    w, cut = np.zeros(len(words)), np.array([np.log((grade < k).mean() / (grade >= k).mean()) for k in used])
     m, v, lr = np.zeros(len(w) + len(cut)), np.zeros(len(w) + len(cut)), 0.1
     for step in range(1, STEPS + 1):
         score = np.bincount(owner, x * w[column], n)
-        # likelihood of grade g is P(<= g) - P(<= g - 1); an end's terms are 1 and 0
-        edges = np.concatenate([np.full((n, 1), 0.0), sigmoid(cut[None, :] - score[:, None]), np.full((n, 1), 1.0)], 1)
-        level = np.searchsorted(np.array(used), grade, "right")
-        hi, lo = edges[np.arange(n), level + 1], edges[np.arange(n), level]
-        p = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        dscore = (dhi - dlo) / n
-        gw = np.bincount(column, x * dscore[owner], len(w)) + RIDGE * w
-        gc = np.array([-(dhi[level == k].sum() - dlo[level == k + 1].sum()) / n for k in range(len(cut))])
-        g = np.concatenate([gw, gc])
+        _, dscore, gc = loss(score, cut, np.searchsorted(np.array(used), grade, "right"))
+        g = np.concatenate([np.bincount(column, x * dscore[owner], len(w)) + RIDGE * w, gc])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w -= move[: len(w)]
@@ -105,36 +86,63 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray) -> Model:
         lr *= 0.995
     thresholds = np.full(GRADES - 1, 40.0)
     thresholds[[k - 1 for k in used]] = cut
-    return Model(words[best], w, np.maximum.accumulate(thresholds))
+    return Model(words, w, np.maximum.accumulate(thresholds))
+
+
+def loss(score: np.ndarray, cut: np.ndarray, level: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of levels, and its gradients by score and by threshold.
+
+    The likelihood of level g is P(<= g) - P(<= g - 1); at an end the term is 1 or 0."""
+    n = len(score)
+    edges = np.concatenate([np.full((n, 1), 0.0), sigmoid(cut[None, :] - score[:, None]), np.full((n, 1), 1.0)], 1)
+    hi, lo = edges[np.arange(n), level + 1], edges[np.arange(n), level]
+    p = np.maximum(hi - lo, 1e-12)
+    dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
+    by_cut = np.array([-(dhi[level == k].sum() - dlo[level == k + 1].sum()) / n for k in range(len(cut))])
+    return float(-np.log(p).mean()), (dhi - dlo) / n, by_cut
 
 
-def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(order, toxic, text) to (order, toxic, word hashes as bytes)."""
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(order, toxic, text) to (form, order, toxic, words, counts): a hash of all words in turn, distinct words' hashes."""
     for batch in batches:
         for i, j, data, off in blocks(batch.column(2)):
             words = Words(data, off, WORD)
             hashes = words.hashes()
-            lists = [hashes[s:e].tobytes() for s, e in zip(words.first[:-1], words.first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(lists, pa.binary())], ["order", "toxic", "words"])
-
-
-def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts, toxic = [], []
-    for batch in batches:
-        texts += [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
-        toxic += batch.column("toxic").to_pylist()
-    model = fit(texts, np.array(toxic, float))
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.words, model.weights, model.thresholds))], pa.binary())], ["model"])
+            form = Rolling(hashes)(words.first[:-1], words.first[1:])
+            found = [np.unique(hashes[s:e], return_counts=True) for s, e in zip(words.first[:-1], words.first[1:])]
+            lists = [pa.array([x[k].view(np.int64).tolist() for x in found], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(form.view(np.int64)), batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *lists], ["form", "order", "toxic", "words", "counts"])
 
 
 def model_of(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    common.tuned(docs.sparkSession)
+    spark = common.tuned(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = known.select("id", "toxic", F.xxhash64("id").alias("order")).orderBy("order").limit(sample)  # at most SAMPLE rows of 24 bytes
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("order", "toxic", "text")
-    lists = texts.mapInArrow(word_lists, "order long, toxic int, words binary").dropDuplicates(["words"])
-    row = lists.repartition(1).sortWithinPartitions("order").mapInArrow(train, "model binary").first()
-    return Model(*pickle.loads(row.model)) if row else fit([], np.zeros(0))
+    known = known.select("id", "toxic", F.xxhash64("id").alias("order")).orderBy("order", "id").limit(sample)  # at most SAMPLE rows of 24 bytes
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("order", "toxic", "text")
+    # an id may have many rows: of texts of equal words one stays
+    forms = texts.mapInArrow(word_counts, "form long, order long, toxic int, words array<long>, counts array<long>").groupBy("form").agg(F.max("toxic").alias("toxic"), F.min("order").alias("order"), F.first("words").alias("words"), F.first("counts").alias("counts"))
+    forms = common.written(forms.where(F.size("words") > 0), "op8-words")
+    n, bad = forms.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
+    if not bad or bad == n:
+        return nothing()
+    share = bad / n
+    df = forms.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("toxic").alias("bad"))
+    z = (F.col("bad") - F.col("df") * share) / F.sqrt(F.col("df") * (share * (1 - share)))
+    # words that occur in a handful of documents only tell those apart; copies with small changes make many of them
+    best = df.where(F.col("df") >= LEAST).select("word", z.alias("z")).where(F.abs("z") >= Z).orderBy(F.abs("z").desc(), "word").limit(FEATURES)
+    best = sorted((r.word & (2**64 - 1), r.z) for r in best.collect())
+    words = np.array([w for w, _ in best], np.uint64)
+    if not len(words):
+        return nothing()
+    picked = F.broadcast(spark.createDataFrame([(int(w), k) for k, w in enumerate(words.view(np.int64))], "word long, k int"))
+    flat = forms.select("form", "order", "toxic", F.explode(F.arrays_zip("words", "counts")).alias("w")).join(picked, F.col("w.words") == F.col("word"))
+    kept = flat.groupBy("form").agg(F.collect_list(F.struct("k", F.col("w.counts").alias("n"))).alias("own"))
+    rows = forms.select("form", "order", "toxic").join(kept, "form", "left").orderBy("order", "form").collect()  # at most SAMPLE, of FEATURES counts each
+    common.dropped(spark, forms)
+    own = [sorted((x.k, x.n) for x in r.own or ()) for r in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in own])
+    flat_counts = np.array([x for r in own for x in r], np.int64).reshape(-1, 2)
+    return fit(words, np.array([z > 0 for _, z in best]), np.array([r.toxic for r in rows], float), owner, flat_counts[:, 0], flat_counts[:, 1])
 
 
 def grade(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:

@@ -248,8 +248,16 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(1)).withColumn("v", F.lit(2))
 
 
-@pytest.mark.parametrize("unit", [1024, 8])
-def test_embeddings_are_brute_force(spark, unit):
+@pytest.mark.parametrize("unit, code, rows", [(1024, None, 512), (8, (3, 256, 32), 1)])
+def test_embeddings_are_brute_force(spark, unit, code, rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        embeddings_are_brute_force(spark, unit, code)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
+def embeddings_are_brute_force(spark, unit, code):
     rng = np.random.default_rng(3)
     rows = []
     for c in range(6):
@@ -267,7 +275,7 @@ def test_embeddings_are_brute_force(spark, unit):
     root = list(range(good))
     for _ in range(good):
         root = [min([root[i], *(root[j] for j in np.flatnonzero(near[i]))]) for i in range(good)]
-    got = {r.vec_id: r for r in op10.near(vectors(spark, rows), unit=unit).collect()}
+    got = {r.vec_id: r for r in op10.near(vectors(spark, rows), unit=unit, code=code).collect()}
     assert [got[i].n_links for i in range(good)] == near.sum(1).tolist()
     assert [got[i].component_id for i in range(good)] == root
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(100, 106))
@@ -291,13 +299,16 @@ def test_embeddings_of_several_lengths_in_one_batch(spark):
     assert [(got[i].n_links, got[i].component_id) for i in range(11)] == [(1, i // 2 * 2) for i in range(6)] + [(0, i) for i in range(6, 11)]
 
 
-def test_recall_of_the_filters():
+@pytest.mark.parametrize("n", [1000, 60_000, 10**6, 10**8, 10**10])
+def test_recall_of_the_filters(n):
     rng = np.random.default_rng(8)
-    x = op10.unit_rows(rng.standard_normal((1500, 64)))
-    z = rng.standard_normal((1500, 64))
+    x = op10.unit_rows(rng.standard_normal((600, 64)))
+    z = rng.standard_normal((600, 64))
     z = op10.unit_rows(z - (z * x).sum(1, keepdims=True) * x)
     y = 0.98 * x + math.sqrt(1 - 0.98**2) * z
-    code = op10.Code(64, op10.LISTED)
+    size = op10.size_of_code(n)
+    assert size[1] ** size[0] >= n * size[2]
+    code = op10.Code(64, size)
     assert np.mean([len(set(a) & set(b)) > 0 for a, b in zip(code.decode(x).tolist(), code.decode(y).tolist())]) > 0.99
 
 
@@ -311,7 +322,7 @@ def test_recall_of_the_filters_on_uneven_spectra(scale, noise):
     z = rng.standard_normal((1500, 64)) * (by if noise == "alike" else 1)
     z = op10.unit_rows(z - (z * x).sum(1, keepdims=True) * x)
     y = 0.98 * x + math.sqrt(1 - 0.98**2) * z
-    code = op10.Code(64, op10.LISTED)
+    code = op10.Code(64, op10.size_of_code(1000))
     assert np.mean([len(set(a) & set(b)) > 0 for a, b in zip(code.decode(x).tolist(), code.decode(y).tolist())]) > 0.99
 
 

@@ -11,14 +11,13 @@ with a start mark and ends with an end, which is a token.
 2. Chunks send their words with counts to buckets by hash; a bucket adds up, numbers its words by frequency, and answers
    each chunk. Answers are a table partitioned by the scan partition that the chunk came from.
 3. For each length from two on, chunks send their distinct n-grams likewise, to buckets by context, in order of word
-   numbers, of which only the steps are written. Left out are those whose context is in no other chunk's texts, which are
-   known in place, and those of which a shorter part was never seen. A bucket answers with each n-gram's count and, by
-   context, the counts that a(h) needs where a text that wasn't learnt from may back off.
+   numbers, of which only the steps are written. Left out are those of which a shorter part was never seen. A bucket answers
+   with each n-gram's count and, by context, the counts that a(h) needs where a text that wasn't learnt from may back off.
 4. Each chunk reads its answers and evaluates its texts token by token, from the word upwards.
 
 N-grams of a chunk are counted before they are sent. A context with more than ``SALTED`` occurrences has its n-grams
 spread over several buckets, whose answers are added up, so no bucket grows with a hot context. Buckets grow in number with
-the corpus, so a chunk's row for one bucket holds about chunk x bucket / corpus tokens: 30,000 at 0.5 GB, 500 at 30 GB.
+the corpus, so a chunk's row for one bucket holds about chunk x bucket / corpus tokens: 80,000 at 0.5 GB, 1,300 at 30 GB.
 Beyond some terabytes ``chunk`` and ``bucket`` should be raised with the executors' memory (about 40 bytes a byte of chunk).
 Words are known by 64-bit hashes, contexts by those of their word numbers.
 
@@ -43,11 +42,11 @@ from . import common
 from .texts import BLOCK, SOLID, U, Words, blocks, mixed
 
 ORDER = 3
-CHUNK = 10 << 20
+CHUNK = 14 << 20
 K = 5
 SALTED = 1_000_000
 #: Words, or tokens whose n-grams are in a bucket, all chunks' together.
-BUCKET = 1_500_000
+BUCKET = 3_000_000
 END = 2
 #: Bytes of a number as written: word numbers and counts stay below 2**48.
 WIDE = 6
@@ -183,13 +182,12 @@ def answer_words(n: int):
         local = np.concatenate([unplaned(r["data"][8 * r["n"] :], r["n"])[0] for r in rows])
         names, at = np.unique(words, return_inverse=True)
         counts = np.bincount(at, local, len(names)).astype(np.int64)
-        told = 2 * counts + (np.bincount(at, minlength=len(names)) == 1)  # and whether no other chunk has the word
         number = np.empty(len(names), np.int64)
         number[np.argsort(-counts, kind="stable")] = np.arange(len(names)) * n + bucket + 1  # 0 is the start mark
         out, s = [(bucket, -1, -1, 0, 0, histogram(counts).tobytes())], 0
         for r in rows:
             own = at[s : s + r["n"]]
-            out.append((bucket, r["part"], r["chunk"], r["n"], 0, planes(told[own], number[own])))
+            out.append((bucket, r["part"], r["chunk"], r["n"], 0, planes(counts[own], number[own])))
             s += r["n"]
         return pa.Table.from_batches([batch_of(out)])
 
@@ -344,13 +342,6 @@ class Level:
         """The words of n-grams, by place."""
         return [own] if self.below is None else [*self.below.words(self.prefix[own]), self.last[own]]
 
-    def told(self, counts: np.ndarray, sole: np.ndarray) -> None:
-        self.counts, self.sole = counts, sole
-
-    def placed(self) -> np.ndarray:
-        """The n-grams known in place: their context is in no other chunk."""
-        return self.below.sole[self.prefix]
-
     def parcels(self, numbers: np.ndarray, n: int, salted: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """What is sent: bucket, contexts, numbers of n-grams of each, n-grams; contexts and n-grams in order."""
         below, size = self.below, len(numbers)
@@ -358,7 +349,7 @@ class Level:
         word[np.argsort(numbers, kind="stable")] = np.arange(size)
         used = np.zeros(len(below.counts), bool)
         used[self.context[self.context >= 0]] = True  # also contexts with which no seen n-gram goes on here
-        who = np.flatnonzero(used & ~below.sole)
+        who = np.flatnonzero(used)
         ids = below.words(who)
         key = word[ids[0]]
         for x in ids[1:]:
@@ -367,7 +358,13 @@ class Level:
         who, n_who = who[order], max(1, len(who))
         rank = np.zeros(len(below.counts), np.int64)
         rank[who] = np.arange(len(who))
-        hashes = tuple_hashes([numbers[x[order]] for x in ids])
+        ids = [x[order] for x in ids]
+        # contexts with one first word go together, so their steps are small; a hot first word's are spread
+        single = self
+        while single.below is not None:
+            single = single.below
+        spread = (single.counts[ids[0]] // salted + 1).astype(np.uint64)
+        hashes = mixed(numbers[ids[0]] + U(1)) + (tuple_hashes([numbers[x] for x in ids[1:]]) % spread if len(ids) > 1 else U(0))
         parts = below.counts[who] // salted + 1
         place = lambda r, salt: (mixed(hashes[r] + salt.astype(np.uint64) * U(0x9E3779B97F4A7C15)) % U(n)).astype(np.int64)
         # a context asks all buckets that its n-grams may be in, with n-grams there or not
@@ -376,14 +373,13 @@ class Level:
         entry = np.unique(place(asked, salt) * n_who + asked)
         at = np.zeros(n_who, np.int64)
         at[entry % n_who] = np.arange(len(entry))
-        sent = np.flatnonzero(~self.placed())
-        first = rank[self.prefix[sent]]
+        first = rank[self.prefix]
         own = at[first]
         hot = np.flatnonzero(parts[first] > 1) if len(first) else first
         if len(hot):
-            salt = mixed(numbers[self.last[sent[hot]]]) % parts[first[hot]].astype(np.uint64)
+            salt = mixed(numbers[self.last[hot]]) % parts[first[hot]].astype(np.uint64)
             own[hot] = np.searchsorted(entry, place(first[hot], salt) * n_who + first[hot])
-        sent = sent[ordered(own * size + word[self.last[sent]])]
+        sent = ordered(own * size + word[self.last])
         sizes = np.bincount(own, minlength=len(entry))
         upto = np.r_[0, np.cumsum(sizes)]
         for b, s, e in slices(entry // n_who):
@@ -400,31 +396,27 @@ def levels(c: Chunk, answers: list[Answers], n_words: int, n_grams: int, start:
     told, number = (np.concatenate(x) for x in zip(*(unplaned(r["data"], r["n"], r["n"]) for r in rows)))
     counts, numbers = np.empty(len(c.vocab), np.int64), np.zeros(len(c.vocab) + 1, np.uint64)
     counts[order], numbers[order] = told, number
-    found[0].told(np.r_[counts >> 1, start], np.r_[(counts & 1).astype(bool), False])
+    found[0].counts = np.r_[counts, start]
     needs = []
     for length, own in enumerate(answers[1:], 1):
         level = Level(c, found[-1], start)
-        counts, sole = level.local.copy(), level.placed()
+        level.counts = np.zeros(len(level.prefix), np.int64)
+        n = len(level.below.counts)
+        gone, mass, cut = np.zeros(n), np.zeros(n), np.zeros(n, bool)
         if discounts:
             here, shorter = discounts[length], discounts[length - 1]
-            at = np.flatnonzero(sole & (counts > 0))
-            n = len(level.below.counts)
-            gone = np.bincount(level.prefix[at], counts[at] - here.of(counts[at]), n).astype(float)
-            mass = np.bincount(level.prefix[at], shorter.of(level.below.counts[level.suffix[at]]), n).astype(float)
-            cut = gone > 0
-            needs.append((gone, mass, cut))
             discounted = U(sum(1 << r for r in range(K) if here.d[r + 1] < 1))
+            needs.append((gone, mass, cut))
         rows = {r["bucket"]: r for r in own.of(c.part, c.chunk)}
         for b, who, _, grams in level.parcels(numbers, n_grams, salted):
             asks = who[level.asks[who]]
             told, kinds, more = unplaned(rows[b]["data"], len(grams), len(who), (2 * K + 1) * len(asks))
-            counts[grams], sole[grams] = told >> U(1), (told & U(1)).astype(bool)
+            level.counts[grams] = told
             if discounts:
                 more = more.astype(np.int64).reshape(2 * K + 1, -1)
                 gone[asks] += here.gone(more[:K])
                 mass[asks] += more[K] - shorter.gone(more[K + 1 :])
                 cut[who] |= (kinds & discounted) > 0
-        level.told(counts, sole)
         found.append(level)
     return found, numbers, needs
 
@@ -445,8 +437,7 @@ def ask_grams(wheres: list[str], n_words: int, n_grams: int, start: int, salted:
             found, numbers, _ = levels(c, answers, n_words, n_grams, start, salted)
             level = Level(c, found[-1], start)
             lower = level.below.counts[level.suffix]
-            # what is known in place still counts among the counts of counts
-            rows = [((c.part + c.chunk) % n_grams, c.part, c.chunk, 0, -1, histogram(level.local[level.placed()]).tobytes())]
+            rows: list[tuple] = []
             for b, who, size, grams in level.parcels(numbers, n_grams, salted):
                 starts = (np.cumsum(size) - size)[size > 0]
                 columns = stepped([numbers[x] for x in level.below.words(who)])
@@ -463,11 +454,11 @@ def ask_grams(wheres: list[str], n_words: int, n_grams: int, start: int, salted:
 
 
 def answer_grams(length: int):
+    """Answers to n-grams with contexts of so many words."""
+
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.select(["bucket", "part", "chunk", "n", "n_first", "data"]).to_pylist(), key=lambda r: (r["part"], r["chunk"]))
         bucket = rows[0]["bucket"]
-        stats = sum((np.frombuffer(r["data"], np.int64) for r in rows if r["n_first"] < 0), np.zeros(K + 3, np.int64))
-        rows = [r for r in rows if r["n_first"] >= 0]
         first, size, last, local, lower = [], [], [], [], []
         for r in rows:
             *columns, sizes, step, here, below = unplaned(r.pop("data"), *[r["n_first"]] * (length + 1), *[r["n"]] * 3)
@@ -476,32 +467,28 @@ def answer_grams(length: int):
             last.append(risen([step], (np.cumsum(sizes) - sizes)[sizes > 0])[0])
             for x, y in ((size, sizes), (local, here), (lower, below)):
                 x.append(y)
-        out = []
-        if rows:
-            names, name = np.unique(np.concatenate(first), return_inverse=True)
-            owner = np.repeat(name, np.concatenate(size)).astype(np.int32)
-            key = mixed(names[owner]) + mixed(np.concatenate(last))
-            del last, first
-            order = np.argsort(key)
-            key = key[order]
-            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            at, chunks_of = order[new], np.diff(np.r_[new, len(key)])
-            gram = np.empty(len(key), np.int32)
-            gram[order] = np.repeat(np.arange(len(new), dtype=np.int32), chunks_of)
-            del key, order
-            counts = np.bincount(gram, np.concatenate(local), len(at)).astype(np.int64)
-            seen = counts > 0
-            need = tallied(owner[at[seen]], counts[seen], np.concatenate(lower)[at[seen]].astype(np.int64), len(names))
-            stats = stats + histogram(counts)
-            told = 2 * counts + (chunks_of == 1)
-            kinds = ((need[:K] > 0) << np.arange(K)[:, None]).sum(0)  # which of the counts 1 to K there are
-            s = t = 0
-            for r in rows:
-                own = name[t : t + r["n_first"]]
-                out.append((bucket, r["part"], r["chunk"], r["n"], r["n_first"], planes(told[gram[s : s + r["n"]]], kinds[own], need[:, own[r["asks"]]].ravel())))
-                s, t = s + r["n"], t + r["n_first"]
+        names, name = np.unique(np.concatenate(first), return_inverse=True)
+        owner = np.repeat(name, np.concatenate(size)).astype(np.int32)
+        key = mixed(names[owner]) + mixed(np.concatenate(last))
+        del last, first
+        order = np.argsort(key)
+        key = key[order]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        at = order[new]
+        gram = np.empty(len(key), np.int32)
+        gram[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.r_[new, len(key)]))
+        del key, order
+        counts = np.bincount(gram, np.concatenate(local), len(at)).astype(np.int64)
+        seen = counts > 0
+        need = tallied(owner[at[seen]], counts[seen], np.concatenate(lower)[at[seen]].astype(np.int64), len(names))
+        kinds = ((need[:K] > 0) << np.arange(K)[:, None]).sum(0)  # which of the counts 1 to K there are
+        out, s, t = [(bucket, -1, -1, 0, 0, histogram(counts).tobytes())], 0, 0
+        for r in rows:
+            own = name[t : t + r["n_first"]]
+            out.append((bucket, r["part"], r["chunk"], r["n"], r["n_first"], planes(counts[gram[s : s + r["n"]]], kinds[own], need[:, own[r["asks"]]].ravel())))
+            s, t = s + r["n"], t + r["n_first"]
         common.trimmed()
-        return pa.Table.from_batches([batch_of([(bucket, -1, -1, 0, 0, stats.tobytes()), *out])])
+        return pa.Table.from_batches([batch_of(out)])
 
     return run
 

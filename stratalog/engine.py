@@ -14,6 +14,7 @@ from .gql import compile as c
 from .gql.lexer import GqlError
 from .gql.parser import Explain, Find, Select, Write, parse
 from .operators import delta, temporal
+from .session import settled
 from .sources import saves
 from .world import World
 
@@ -124,19 +125,16 @@ class Engine:
         one = self.spark.range(1)
         if t.df is None:
             names = s.columns or t.comps
-            for row in values:
+            found = one.select(F.array(*(F.array(*(v.cast("double") for v in row)) for row in values)).alias("v")).first().v
+            for row in found:
                 entity = self._next()
-                self.world = self.world.spawn(entity, prefab=t.prefab)
-                got = one.select(*(v.cast("double").alias(n) for n, v in zip(names, row))).first()
-                self.world = self.world.write(*((entity, n, got[n]) for n in names if got[n] is not None))
+                self.world = self.world.spawn(entity, prefab=t.prefab).write(*((entity, n, v) for n, v in zip(names, row) if v is not None))
             return
         names = s.columns or tuple(t.df.columns)
         if len(names) != len(values[0]) or set(names) - set(t.df.columns):
             raise GqlError("values don't fit the table's columns")
-        for row in values:
-            given = dict(zip(names, row))
-            new = one.select(*((given.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in t.df.schema))
-            t.df = t.df.unionByName(new)
+        cast = lambda row: F.struct(*((dict(zip(names, row)).get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in t.df.schema))
+        t.df = t.df.unionByName(one.select(F.inline(F.array(*map(cast, values)))))
 
     def _next(self) -> int:
         if not self.next_entity:
@@ -158,7 +156,7 @@ class Engine:
         writes = rows.select("entity", F.explode(F.map_from_arrays(F.array(*map(F.lit, new)), F.array(*(v.cast("double") for v in new.values())))).alias("comp", "value"))
         at = self.world
         log = writes.select(F.lit(at.tick).cast("long").alias("tick"), F.lit(at.seq).cast("long").alias("seq"), "entity", "comp", "value")
-        self.world = World(at.components.unionByName(log), at.lifecycle, at.edges, at.tick, at.seq + 1)
+        self.world = at.appended(components=settled(log, "update"))
 
     def do_delete(self, s: Write) -> None:
         t = self._plain(s.name)
@@ -171,7 +169,7 @@ class Engine:
     def _bury(self, rows: DataFrame) -> None:
         at = self.world
         log = rows.select(F.lit(at.tick).cast("long").alias("tick"), F.lit(at.seq).cast("long").alias("seq"), "entity", F.lit(None).cast("string").alias("prefab"), F.lit(False).alias("spawned"))
-        self.world = World(at.components, at.lifecycle.unionByName(log), at.edges, at.tick, at.seq + 1)
+        self.world = at.appended(lifecycle=settled(log, "delete"))
 
     def do_spawn(self, s: Write) -> None:
         entity = self._next()

@@ -45,9 +45,7 @@ def fix_mul(a: Column, b: Column) -> Column:
 def fix_div(a: Column, b: Column) -> Column:
     """Truncating; by zero: the greatest number."""
     n, d = F.shiftleft(a.cast("bigint"), 16), b.cast("bigint")
-    quotient = F.try_divide(n.cast("decimal(20,0)"), d.cast("decimal(20,0)"))
-    exact = F.floor(F.abs(quotient)).cast("bigint") * F.signum(quotient.cast("double")).cast("bigint")
-    return F.when(d == 0, F.lit(MOST).cast("bigint")).otherwise(wrapped(exact))
+    return F.when(d == 0, F.lit(MOST).cast("bigint")).otherwise(wrapped(F.call_function("div", n, F.nullif(d, F.lit(0)))))
 
 
 def fix_abs(a: Column) -> Column:

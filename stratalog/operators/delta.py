@@ -67,20 +67,19 @@ def fold(delta: DataFrame) -> DataFrame:
 
 def applied(world, delta: DataFrame, tick: int):
     """The world with a delta written to its logs at a tick (its end), in the delta's order."""
-    from dataclasses import replace
-
-    at = F.lit(tick).cast("long")
-    seq = F.col("seq") + F.lit(world.seq)
-    life = delta.where(F.col("op").isin("spawn", "despawn")).select(at.alias("tick"), seq.alias("seq"), "entity", F.lit(None).cast("string").alias("prefab"), (F.col("op") == "spawn").alias("spawned"))
-    # a spawn of one who lives, or death of one who doesn't, changes nothing
-    known = life.join(world.live().select("entity", F.lit(True).alias("__live")), "entity", "left")
-    life = known.where(F.coalesce("__live", F.lit(False)) != F.col("spawned")).select(world.lifecycle.columns)
-    values = delta.where("op = 'update'").select(at.alias("tick"), seq.alias("seq"), "entity", "comp", "value")
-    ties = delta.where(F.col("op").isin("relate", "unrelate")).select(at.alias("tick"), seq.alias("seq"), F.col("entity").alias("src"), "kind", "dst", "payload", F.when(F.col("op") == "relate", "add").otherwise("remove").alias("op"))
-    after = replace(world, tick=max(world.tick, tick), lifecycle=world.lifecycle.unionByName(life))
-    values = values.join(after.live().select("entity"), "entity", "left_semi").select(world.components.columns)
-    top = delta.agg(F.max("seq")).first()[0] or 0
-    return replace(after, components=world.components.unionByName(values), edges=world.edges.unionByName(ties), seq=world.seq + top + 1)
+    return applied_ticks(world, delta.withColumn("end_tick", F.lit(tick).cast("long")), tick)
+
+
+def applied_ticks(world, deltas: DataFrame, last: int):
+    """The world with the deltas of many ticks (end_tick, up to last) written to its logs: one pass, however many ticks.
+
+    What a spawn of one who lives or the death of one who doesn't would change is nothing, which views see to."""
+    at, seq = F.col("end_tick").alias("tick"), (F.col("seq") + F.lit(world.seq)).alias("seq")
+    life = deltas.where(F.col("op").isin("spawn", "despawn")).select(at, seq, "entity", F.lit(None).cast("string").alias("prefab"), (F.col("op") == "spawn").alias("spawned"))
+    values = deltas.where("op = 'update'").select(at, seq, "entity", "comp", "value")
+    ties = deltas.where(F.col("op").isin("relate", "unrelate")).select(at, seq, F.col("entity").alias("src"), "kind", "dst", "payload", F.when(F.col("op") == "relate", "add").otherwise("remove").alias("op"))
+    top = deltas.agg(F.max("seq")).first()[0] or 0
+    return world.appended(values, life, ties, top + 1).at(last)
 
 
 # --- codecs: column forms where SQL has them, byte forms for files and the wire ---

@@ -45,9 +45,13 @@ def profile(counts: DataFrame, strides: DataFrame) -> DataFrame:
     return a.join(F.broadcast(s)).withColumn("health", health)
 
 
-def checksum(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Count and xor of row hashes: the same for equal contents in any order, and combined before the shuffle."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("hash"))
+def checksum(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = (), portable: bool = False) -> DataFrame:
+    """Count and xor of row hashes: the same for equal contents in any order, and combined before the shuffle.
+
+    portable: 60 bits of the MD5 of the values' texts, which other engines compute too; else Spark's faster xxhash64."""
+    text = F.concat_ws("|", *(F.col(c).cast("string") for c in columns))
+    one = F.conv(F.left(F.md5(text), F.lit(15)), 16, 10).cast("long") if portable else F.xxhash64(*columns)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor(one).alias("hash"))
 
 
 def states_equal(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> bool:
@@ -65,17 +69,24 @@ def first_divergence(a: DataFrame, b: DataFrame) -> DataFrame:
     return divergence(a, b).agg(F.min("tick").alias("tick"))
 
 
+def causes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Divergent writes with the (tick, seq) of the latest earlier divergent write of their input on the same entity.
+
+    Writes stand under their own component and, as questions, under their input: one sort by (entity, component)."""
+    bad = divergence(a, b).select("tick", "seq", "entity", "comp", "system", "input")
+    asks = bad.select(F.col("input").alias("of"), F.lit(0).alias("kind"), "*")
+    rows = asks.unionAll(bad.select(F.col("comp").alias("of"), F.lit(1).alias("kind"), "*"))
+    upto = Window.partitionBy("entity", "of").orderBy("tick", "seq", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("from", F.max(F.when(F.col("kind") == 1, F.struct("tick", "seq"))).over(upto))
+    return found.where("kind = 0").select("tick", "seq", "entity", "comp", "system", "input", F.when(F.col("input").isNotNull(), F.col("from")).alias("from"))
+
+
 def trace(a: DataFrame, b: DataFrame, hops: int = 64) -> list[tuple[str, int, int, str]]:
     """From the latest divergent write back along inputs: (system, tick, entity, comp), the root cause last.
 
-    Writes name their input component. One pass finds for each divergent write the latest earlier divergent write of
-    its input on the same entity; the chain is then followed in that table, one lookup a hop, at most so many.
+    Writes name their input component. The chain is followed in the table of causes, one lookup a hop, at most so many.
     """
-    key = ["tick", "seq", "entity", "comp"]
-    bad = divergence(a, b).select(*key, "system", "input")
-    causes = bad.select("entity", F.col("comp").alias("input"), F.struct("tick", "seq").alias("t"))
-    linked = bad.alias("w").join(causes.alias("c"), (F.col("w.entity") == F.col("c.entity")) & (F.col("w.input") == F.col("c.input")) & (F.col("c.t") < F.struct("w.tick", "w.seq")), "left")
-    linked = linked.groupBy(*(F.col("w." + k) for k in (*key, "system", "input"))).agg(F.max("c.t").alias("from")).cache()
+    linked = causes(a, b).cache()
     out, row = [], linked.orderBy(F.desc("tick"), F.desc("seq"), "entity").limit(1).collect()
     while row and len(out) < hops:
         r = row[0]

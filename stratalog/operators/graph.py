@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .temporal import as_of
 
 KEY = ("src", "kind", "dst")
 
 
 def current(log: DataFrame, live: DataFrame | None = None, tick: int | None = None) -> DataFrame:
-    """The edges at a tick: last writes that aren't removals, both ends alive."""
-    edges = as_of(log, tick, KEY, ("payload", "op")).where("op = 'add'").select(*KEY, "payload", "tick")
+    """The edges at a tick: last writes that aren't removals, later than the births of both ends, which must live."""
+    edges = as_of(log, tick, KEY, ("payload", "op")).where("op = 'add'").select(*KEY, "payload", "tick", "seq")
     for end in ("src", "dst") if live is not None else ():
-        edges = edges.join(live.select(F.col("entity").alias(end)), end, "left_semi")
+        born = live.select(F.col("entity").alias(end), F.struct("born", "born_seq").alias("__born"))
+        edges = edges.join(born, end).where(F.struct("tick", "seq") > F.col("__born")).drop("__born")
     return edges.select(*KEY, "payload", "tick")
 
 
@@ -40,9 +42,16 @@ def degrees(edges: DataFrame, end: str = "src") -> DataFrame:
     return edges.groupBy(F.col(end).alias("entity"), "kind").agg(F.count("*").alias("degree"))
 
 
-def neighbours(edges: DataFrame) -> DataFrame:
-    """Sorted neighbour lists."""
-    return edges.groupBy("src", "kind").agg(F.sort_array(F.collect_list("dst")).alias("dsts"))
+def neighbours(edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """Sorted neighbour lists in pages of at most so many, numbered from 0: a hot node's list is never in one row."""
+    number = F.row_number().over(Window.partitionBy("src", "kind").orderBy("dst"))
+    paged = edges.select("src", "kind", "dst", F.floor((number - 1) / most).alias("page"))
+    return paged.groupBy("src", "kind", "page").agg(F.sort_array(F.collect_list("dst")).alias("dsts"))
+
+
+def canonical(edges: DataFrame) -> DataFrame:
+    """Edges in the order that replicas agree on; a range-partitioned sort."""
+    return edges.orderBy(*KEY)
 
 
 def changed_sources(log: DataFrame, kind: int, since: int) -> DataFrame:
@@ -62,12 +71,19 @@ def pruned(log: DataFrame, tick: int) -> DataFrame:
     return log.join(gone, list(KEY), "left_anti").select(*log.columns)
 
 
-def reachable(spark: SparkSession, edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """Entities within so many hops of start (entity), with the least number: a recursive query, frontier by frontier."""
-    edges.select("src", "dst").distinct().createOrReplaceTempView("__edges")
-    start.select("entity").distinct().createOrReplaceTempView("__start")
-    found = spark.sql(f"""WITH RECURSIVE walk(entity, hops) MAX RECURSION LEVEL {hops + 1} AS (
-      SELECT entity, 0 FROM __start UNION ALL
-      SELECT e.dst, w.hops + 1 FROM walk w JOIN __edges e ON w.entity = e.src WHERE w.hops < {hops})
-      SELECT entity, CAST(min(hops) AS BIGINT) AS hops FROM walk GROUP BY entity""")
-    return found
+def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
+    """Entities within so many hops of start (entity), with the least number.
+
+    A frontier at a time: what it leads to, less what is known. Each is settled, so plans stay short and work is linear in
+    the edges, cycles and many paths included.
+    """
+    ties = edges.select("src", "dst").distinct()
+    known = settled(start.select("entity", F.lit(0).cast("long").alias("hops")).distinct(), "reach")
+    frontier = known
+    for hop in range(1, hops + 1):
+        new = ties.join(frontier.select(F.col("entity").alias("src")), "src").select(F.col("dst").alias("entity")).distinct()
+        frontier = settled(new.join(known, "entity", "left_anti").select("entity", F.lit(hop).cast("long").alias("hops")), "reach")
+        if frontier.isEmpty():
+            break
+        known = known.unionAll(frontier)
+    return known

@@ -24,9 +24,14 @@ def as_of(log: DataFrame, tick: int | None, keys: Sequence[str] = KEY, values: S
 
 
 def live(lifecycle: DataFrame, tick: int | None = None) -> DataFrame:
-    """Entities whose last event up to a tick is a spawn, with its prefab, and the tick and seq of their birth."""
-    last = as_of(lifecycle, tick, ("entity",), ("prefab", "spawned"))
-    return last.where("spawned").select("entity", "prefab", F.col("tick").alias("born"), F.col("seq").alias("born_seq"))
+    """Entities whose last event up to a tick is a spawn, with the prefab, tick and seq of their birth: the first spawn
+    after the last despawn, as a spawn of one who lives changes nothing. One shuffle, by entity."""
+    rows = lifecycle if tick is None else lifecycle.where(F.col("tick") <= tick)
+    order = F.struct("tick", "seq")
+    before = F.lag("spawned", 1, False).over(Window.partitionBy("entity").orderBy("tick", "seq"))
+    rows = rows.withColumn("__birth", F.when(F.col("spawned") & ~before, F.struct("tick", "seq", "prefab")))
+    last = rows.groupBy("entity").agg(F.max_by("spawned", order).alias("__lives"), F.max("__birth").alias("__b"))
+    return last.where("__lives").select("entity", F.col("__b.prefab").alias("prefab"), F.col("__b.tick").alias("born"), F.col("__b.seq").alias("born_seq"))
 
 
 def living_state(log: DataFrame, lifecycle: DataFrame, tick: int | None) -> DataFrame:

@@ -241,7 +241,8 @@ def _(spark, sf):
     return temporal.live(life(spark, sf)).select("entity")
 
 
-LIVING = f"{LOG}, {LIFE}, live AS (SELECT entity, max((tick, seq)) AS born FROM life WHERE tick <= 500 GROUP BY entity HAVING arg_max(spawned, (tick, seq)))"
+BORN = "turns AS (SELECT *, coalesce(lag(spawned) OVER (PARTITION BY entity ORDER BY tick, seq), false) AS lived FROM {life}), live AS (SELECT entity, max((tick, seq)) FILTER (spawned AND NOT lived) AS born FROM turns GROUP BY entity HAVING arg_max(spawned, (tick, seq)))"
+LIVING = f"{LOG}, {LIFE}, upto AS (SELECT * FROM life WHERE tick <= 500), {BORN.format(life='upto')}"
 
 
 @query("living_state", f"WITH {LIVING}, {LAST.format(t=500)}, s AS (SELECT entity, comp, max((tick, seq)) AS at FROM log WHERE tick <= 500 GROUP BY ALL) SELECT last.entity, last.comp, last.value FROM last JOIN live ON last.entity = live.entity JOIN s ON s.entity = last.entity AND s.comp = last.comp WHERE s.at > live.born")
@@ -294,14 +295,27 @@ def _(spark, sf):
     return rows.withColumn("c", cause).where("comp = 'purchase' AND c IS NOT NULL").select("entity", "seq", F.col("c.seq").alias("cause"))
 
 
-@query("state_checksum", f"WITH {LOG} SELECT comp, tick, count(*) AS n, bit_xor(seq) AS hash FROM log GROUP BY comp, tick")
+HASH = "bit_xor(CAST('0x' || left(md5({text}), 15) AS BIGINT))"
+
+
+@query("state_checksum", f"WITH {LOG} SELECT comp, tick, count(*) AS n, {HASH.format(text="seq || '|' || entity")} AS hash FROM log GROUP BY comp, tick")
 def _(spark, sf):
-    return log(spark, sf).groupBy("comp", "tick").agg(F.count("*").alias("n"), F.bit_xor("seq").alias("hash"))
+    return devtools.checksum(log(spark, sf), ["seq", "entity"], ["comp", "tick"], portable=True)
+
+
+@query("state_hash", f"WITH {LOG} SELECT comp, count(*) AS n, {HASH.format(text="concat_ws('|', tick, seq, entity, comp, value)")} AS hash FROM log GROUP BY comp")
+def _(spark, sf):
+    return devtools.checksum(log(spark, sf), ["tick", "seq", "entity", "comp", "value"], ["comp"], portable=True)
+
+
+INPUTS = "CASE comp WHEN 'purchase' THEN 'click' WHEN 'click' THEN 'view' END"
 
 
-@query("state_hash")
+@query("causal_trace", f"WITH {REPLICA}, bad AS (SELECT tick, seq, entity, comp, {INPUTS} AS input FROM log WHERE seq % 7 = 0) SELECT b.tick, b.seq, b.entity, b.comp, (SELECT max((c.tick, c.seq)) FROM bad c WHERE c.entity = b.entity AND c.comp = b.input AND (c.tick, c.seq) < (b.tick, b.seq))[2] AS cause FROM bad b")
 def _(spark, sf):
-    return devtools.checksum(log(spark, sf), ["tick", "seq", "entity", "comp", "value"], ["comp"])
+    rows = log(spark, sf).withColumns({"system": F.col("comp"), "input": F.expr(INPUTS)})
+    other = rows.withColumn("value", F.when(F.col("seq") % 7 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    return devtools.causes(rows, other).select("tick", "seq", "entity", "comp", F.col("from.seq").alias("cause"))
 
 
 @query("session_audit", f"WITH {LOG} SELECT seq, entity, comp, value, lag(value) OVER (PARTITION BY entity, comp ORDER BY seq) AS old FROM log WHERE comp = 'error'")
@@ -312,10 +326,75 @@ def _(spark, sf):
 # --- change sets ---
 
 
-@query("delta_capture", f"WITH {LOG}, {LIFE}, u AS (SELECT 'update' AS op, max(tick) AS tick, entity, comp, arg_max(value, (tick, seq)) AS value, CAST(NULL AS BIGINT) AS dst FROM log WHERE tick > 600 GROUP BY entity, comp) SELECT * FROM u UNION ALL SELECT CASE WHEN spawned THEN 'spawn' ELSE 'despawn' END, tick, entity, NULL, NULL, NULL FROM life WHERE tick > 600")
+EDGE_LOG = "elog AS (SELECT o_orderkey % 1000 AS tick, o_orderkey AS seq, o_custkey AS src, 0 AS kind, o_custkey % 97 AS dst, o_totalprice AS payload, o_orderstatus = 'F' AS gone FROM orders)"
+
+
+def edge_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations of customers, some of them removed, and added again, by later orders."""
+    o = table(spark, sf, "orders")
+    return o.select((F.col("o_orderkey") % 1000).alias("tick"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("src"), F.lit(0).alias("kind"), (F.col("o_custkey") % 97).alias("dst"), F.col("o_totalprice").alias("payload"), F.when(F.col("o_orderstatus") == "F", "remove").otherwise("add").alias("op"))
+
+
+CAPTURED = "u AS (SELECT 'update' AS op, max(tick) AS tick, max((tick, seq))[2] AS seq, entity, comp, arg_max(value, (tick, seq)) AS value, CAST(NULL AS BIGINT) AS dst, CAST(NULL AS DOUBLE) AS payload FROM log WHERE tick > 600 GROUP BY entity, comp), r AS (SELECT src, kind, dst, max((tick, seq)) AS pt, arg_max(payload, (tick, seq)) AS payload, arg_max(gone, (tick, seq)) AS gone FROM elog WHERE tick > 600 GROUP BY ALL), delta AS (SELECT * FROM u UNION ALL SELECT CASE WHEN spawned THEN 'spawn' ELSE 'despawn' END, tick, seq, entity, NULL, NULL, NULL, NULL FROM life WHERE tick > 600 UNION ALL SELECT CASE WHEN gone THEN 'unrelate' ELSE 'relate' END, pt[1], pt[2], src, NULL, NULL, dst, payload FROM r)"
+
+
+def captured(spark: SparkSession, sf: str) -> DataFrame:
+    return delta.capture(log(spark, sf), life(spark, sf), edge_log(spark, sf), 600)
+
+
+@query("delta_capture", f"WITH {LOG}, {LIFE}, {EDGE_LOG}, {CAPTURED} SELECT op, tick, entity, comp, value, dst, payload FROM delta")
+def _(spark, sf):
+    return captured(spark, sf).select("op", "tick", "entity", "comp", "value", "dst", "payload")
+
+
+LATE = "late AS (SELECT 601 AS tick, seq, entity, spawned FROM life WHERE tick > 600)"
+
+
+@query("delta_apply", f"WITH {LOG}, {LIFE}, {EDGE_LOG}, {CAPTURED}, {LATE}, {BORN.format(life='late')} SELECT d.entity, d.comp, d.value FROM delta d JOIN live ON d.entity = live.entity WHERE d.op = 'update' AND (601, d.seq) > live.born")
+def _(spark, sf):
+    from ..world import World
+
+    return delta.applied(World.empty(spark), captured(spark, sf), 601).state().select("entity", "comp", "value")
+
+
+@query("replay_state", f"WITH {LOG}, {LIFE}, {BORN.format(life='life')}, last AS (SELECT entity, comp, arg_max(value, (tick, seq)) AS value, max((tick, seq)) AS at FROM log GROUP BY entity, comp) SELECT last.entity, last.comp, last.value FROM last JOIN live ON last.entity = live.entity WHERE last.at > live.born")
 def _(spark, sf):
-    none = order_edges(spark, sf).limit(0).select(F.lit(0).cast("long").alias("tick"), F.lit(0).cast("long").alias("seq"), "src", "kind", "dst", "payload", F.lit("add").alias("op"))
-    return delta.capture(log(spark, sf), life(spark, sf), none, 600).select("op", "tick", "entity", "comp", "value", "dst")
+    from ..world import World
+
+    writes = delta.shaped(log(spark, sf), F.lit("update"))
+    births = delta.shaped(life(spark, sf), F.when(F.col("spawned"), "spawn").otherwise("despawn"))
+    ticks = writes.unionByName(births).withColumn("end_tick", F.col("tick"))
+    return delta.applied_ticks(World.empty(spark), ticks, 719).state().select("entity", "comp", "value")
+
+
+ADDED = "log2 AS (SELECT * FROM log UNION ALL VALUES (800, 9000000001, 100001, 'click', 7.5), (800, 9000000002, 3, 'view', 1.25), (800, 9000000003, 100002, 'view', 2.5)), life2 AS (SELECT * FROM life UNION ALL VALUES (800, 9000000000, 100001, true), (800, 9000000004, 5, false), (800, 9000000005, 100001, true))"
+
+
+@query("world_writes", f"WITH {LOG}, {LIFE}, {ADDED}, {BORN.format(life='life2')}, last AS (SELECT entity, comp, arg_max(value, (tick, seq)) AS value, max((tick, seq)) AS at FROM log2 GROUP BY entity, comp) SELECT last.entity, last.comp, last.value FROM last JOIN live ON last.entity = live.entity WHERE last.at > live.born")
+def _(spark, sf):
+    from ..world import World
+
+    w = World(log(spark, sf), life(spark, sf), edge_log(spark, sf), 800, 9_000_000_000)
+    w = w.spawn(100_001).write((100_001, "click", 7.5), (3, "view", 1.25), (100_002, "view", 2.5)).despawn(5).spawn(100_001)
+    return w.state().select("entity", "comp", "value")
+
+
+@query("despawn_cleans_edges", f"WITH {EDGE_LOG}, gone AS (SELECT c_custkey AS entity FROM customer WHERE c_nationkey % 5 = 3), e AS (SELECT src, kind, dst, arg_max(payload, (tick, seq)) AS payload, arg_max(gone, (tick, seq)) AS gone FROM elog GROUP BY src, kind, dst) SELECT src, kind, dst, payload FROM e WHERE NOT gone AND src IN (SELECT c_custkey FROM customer) AND dst IN (SELECT c_custkey FROM customer) AND src NOT IN (SELECT entity FROM gone) AND dst NOT IN (SELECT entity FROM gone)")
+def _(spark, sf):
+    c = table(spark, sf, "customer")
+    born = c.select(F.lit(-1).cast("long").alias("tick"), F.lit(0).cast("long").alias("seq"), F.col("c_custkey").alias("entity"), F.lit(None).cast("string").alias("prefab"), F.lit(True).alias("spawned"))
+    died = born.join(c.where("c_nationkey % 5 = 3").select(F.col("c_custkey").alias("entity")), "entity", "left_semi").select(F.lit(1001).cast("long").alias("tick"), "seq", "entity", "prefab", F.lit(False).alias("spawned"))
+    return graph.current(edge_log(spark, sf), temporal.live(born.unionByName(died))).select("src", "kind", "dst", "payload")
+
+
+@query("relation_changed_sources", f"WITH {EDGE_LOG} SELECT src, max(tick) AS tick FROM elog WHERE NOT gone AND tick > 700 GROUP BY src")
+def _(spark, sf):
+    return graph.changed_sources(edge_log(spark, sf), 0, 700)
+
+
+@query("relation_log_pruned", f"WITH {EDGE_LOG}, l AS (SELECT src, kind, dst, arg_max(gone, (tick, seq)) AS gone, max(tick) AS tick FROM elog GROUP BY src, kind, dst) SELECT elog.tick, elog.seq, elog.src, elog.dst FROM elog JOIN l ON elog.src = l.src AND elog.kind = l.kind AND elog.dst = l.dst WHERE NOT (l.gone AND l.tick <= 500)")
+def _(spark, sf):
+    return graph.pruned(edge_log(spark, sf), 500).select("tick", "seq", "src", "dst")
 
 
 FOLD = f"{LOG}, d AS (SELECT CASE WHEN comp = 'signup' THEN 'spawn' WHEN comp = 'error' THEN 'despawn' ELSE 'update' END AS op, tick, seq, entity, comp, value FROM log), l AS (SELECT entity, max((tick, seq)) FILTER (op = 'despawn') AS died, max((tick, seq)) FILTER (op <> 'despawn') AS acted FROM d GROUP BY entity), k AS (SELECT d.* FROM d JOIN l ON d.entity = l.entity WHERE op <> 'despawn' AND (died IS NULL OR (d.tick, d.seq) > died))"
@@ -351,15 +430,15 @@ def _(spark, sf):
 # --- relations ---
 
 
-@query("relation_out", f"WITH {ORDER_EDGES} SELECT src, kind, dst, payload FROM edges WHERE src % 100 = 7")
+@query("relation_out", f"WITH {ORDER_EDGES} SELECT src, kind, dst, payload FROM edges WHERE src IN (SELECT o_orderkey FROM orders)")
 def _(spark, sf):
-    orders = table(spark, sf, "orders").where("o_orderkey % 100 = 7").select(F.col("o_orderkey").alias("entity"))
-    return graph.outgoing(order_edges(spark, sf), orders, 0)
+    return graph.outgoing(order_edges(spark, sf), table(spark, sf, "orders").select(F.col("o_orderkey").alias("entity")).distinct(), 0)
 
 
-@query("relation_out_all", f"WITH {ORDER_EDGES} SELECT src, kind, dst, payload FROM edges WHERE src IN (SELECT o_orderkey FROM orders)")
+@query("neighbour_lists", "WITH n AS (SELECT o_custkey AS src, o_orderkey AS dst, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 8 AS page FROM orders) SELECT src, page, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS dsts FROM n GROUP BY src, page")
 def _(spark, sf):
-    return graph.outgoing(order_edges(spark, sf), table(spark, sf, "orders").select(F.col("o_orderkey").alias("entity")).distinct(), 0)
+    ties = table(spark, sf, "orders").select(F.col("o_custkey").alias("src"), F.lit(0).alias("kind"), F.col("o_orderkey").alias("dst"))
+    return graph.neighbours(ties, 8).select("src", "page", F.array_join(F.col("dsts").cast("array<string>"), ",").alias("dsts"))
 
 
 @query("relation_in", f"WITH {ORDER_EDGES} SELECT src, kind, dst, payload FROM edges WHERE dst IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5)")
@@ -390,7 +469,7 @@ def _(spark, sf):
 def _(spark, sf):
     a = table(spark, sf, "nation").select((F.col("n_regionkey") + 1000).cast("long").alias("src"), (F.col("n_nationkey") + 2000).cast("long").alias("dst"))
     b = table(spark, sf, "supplier").select((F.col("s_nationkey") + 2000).cast("long").alias("src"), (F.col("s_suppkey") + 3000).cast("long").alias("dst"))
-    return graph.reachable(spark, a.unionByName(b), spark.createDataFrame([(1001,)], "entity long"), 3)
+    return graph.reachable(a.unionByName(b), spark.createDataFrame([(1001,)], "entity long"), 3)
 
 
 # --- space ---
@@ -483,15 +562,15 @@ def _(spark, sf):
     return rows.select("sub", "entity", "tier", (F.round(num.quantized(F.col("x"), F.col("step")), 6) + 0.0).alias("x"))
 
 
-@query("subscriber_delta")
+@query("subscriber_delta", f"WITH {POS}, {SUBS}, d AS (SELECT sub, entity, x, sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz)) AS d, (x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz) AS q FROM subs JOIN pos ON true) SELECT sub, entity, 'spawn' AS op, NULL AS comp, NULL AS value FROM d WHERE q <= 0.3*0.3 AND NOT q <= 0.2*0.2 UNION ALL SELECT sub, entity, 'update', 'x', round(CASE WHEN d <= 0.1 THEN x WHEN d <= 0.2 THEN round(x / 0.05) * 0.05 ELSE round(x / 0.1) * 0.1 END, 6) + 0.0 FROM d WHERE q <= 0.3*0.3 AND d <= 0.3")
 def _(spark, sf):
     p = positions(spark, sf)
     now, known = interest.inside(p, subscriptions(p, 0.3)), interest.inside(p, subscriptions(p, 0.2))
     values = p.select("entity", F.lit("x").alias("comp"), F.col("x").alias("value"), F.lit(1).cast("long").alias("tick"))
-    return interest.subscriber_delta(now, known, values, LOD, 0)
+    return interest.subscriber_delta(now, known, values, LOD, 0).withColumn("value", F.round("value", 6) + 0.0)
 
 
-@query("lod_rate_limit")
+@query("lod_rate_limit", f"WITH RECURSIVE {LOG}, v AS (SELECT DISTINCT entity, tick FROM log WHERE comp = 'view' AND tick > 0), n AS (SELECT a.entity, a.tick, min(b.tick) AS later FROM v a JOIN v b ON a.entity = b.entity AND b.tick >= a.tick + 12 GROUP BY a.entity, a.tick), s AS (SELECT entity, min(tick) AS tick FROM v GROUP BY entity UNION ALL SELECT n.entity, n.later FROM s JOIN n ON s.entity = n.entity AND s.tick = n.tick) SELECT CAST(1 AS BIGINT) AS sub, entity, 'view' AS comp, 0 AS tier, tick, tick AS last_write, 12 AS every FROM s")
 def _(spark, sf):
     rows = log(spark, sf).where("comp = 'view'").select(F.lit(1).cast("long").alias("sub"), "entity", "comp", F.lit(0).alias("tier"), "tick", F.col("tick").alias("last_write"), F.lit(12).alias("every"))
     return interest.send_times(rows.groupBy("sub", "entity", "comp", "tier", "tick", "last_write", "every").count().drop("count"))
@@ -548,12 +627,13 @@ def _(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", tree.status(leaves).alias("status"))
 
 
-@query("goal_plans")
+@query("goal_plans", "SELECT c_custkey, CAST(c_acctbal > 0 AS DOUBLE) AS gold, CASE WHEN c_acctbal > 0 THEN '2' ELSE '1,2' END AS plan FROM customer WHERE c_acctbal IS NOT NULL")
 def _(spark, sf):
     from ..operators.agents import Action, plans
 
-    c = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") > 0).cast("double").alias("gold"))
-    return plans(c, ["gold"], {"house": 1.0}, [Action(1, "gold", 1.0), Action(2, "house", 1.0, "gold", 1.0)])
+    c = table(spark, sf, "customer").where("c_acctbal is not null").select("c_custkey", (F.col("c_acctbal") > 0).cast("double").alias("gold"))
+    found = plans(c, ["gold"], {"house": 1.0}, [Action(1, "gold", 1.0), Action(2, "house", 1.0, "gold", 1.0)])
+    return found.withColumn("plan", F.array_join(F.col("plan").cast("array<string>"), ","))
 
 
 @query("obstacle_patch", "WITH n AS (SELECT p_partkey AS node, p_size % 10 AS cx FROM part), a AS (SELECT node FROM n WHERE cx BETWEEN 2 AND 3) SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey IN (SELECT node FROM a) OR l_suppkey IN (SELECT node FROM a)")
@@ -563,14 +643,7 @@ def _(spark, sf):
     return nav.obstacle_patch(nodes, ties, (2, 0, 0), (3, 0, 0), True)[1]
 
 
-@query("path_samples", "WITH r AS (SELECT o_orderkey AS route, CAST(o_custkey % 3000 AS DOUBLE) AS x1 FROM orders WHERE o_orderkey % 50 = 1), s AS (SELECT route, x1, CAST(CASE WHEN x1 <= 64 THEN 0 ELSE floor(x1 / 64) END AS INT) AS n FROM r), p AS (SELECT route, unnest(range(0, n + 2)) AS i, n, x1 FROM s), q AS (SELECT route, i, CASE WHEN i > n THEN x1 ELSE x1 * (i / greatest(n, 1)) END AS x FROM p) SELECT route, CAST(i AS INT) AS i, round(x, 6) AS x FROM q WHERE i > 0 AND route NOT IN (SELECT route FROM q WHERE floor(x / 1024) >= 2)")
-def _(spark, sf):
-    r = table(spark, sf, "orders").where("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("route"), *(F.lit(0.0).alias(n) for n in ("x0", "y0", "z0")), (F.col("o_custkey") % 3000).cast("double").alias("x1"), F.lit(0.0).alias("y1"), F.lit(0.0).alias("z1"))
-    resident = spark.createDataFrame([(0, 0, 0), (1, 0, 0)], "tx long, ty long, tz long")
-    return nav.straight_paths(r, resident)[0].select("route", "i", F.round("x", 6).alias("x"))
-
-
-@query("path_samples_all", "WITH r AS (SELECT o_orderkey AS route, CAST(o_custkey % 3000 AS DOUBLE) AS x1 FROM orders), s AS (SELECT route, x1, CAST(CASE WHEN x1 <= 64 THEN 0 ELSE floor(x1 / 64) END AS INT) AS n FROM r), p AS (SELECT route, unnest(range(0, n + 2)) AS i, n, x1 FROM s), q AS (SELECT route, i, CASE WHEN i > n THEN x1 ELSE x1 * (i / greatest(n, 1)) END AS x FROM p) SELECT route, CAST(i AS INT) AS i, round(x, 6) AS x FROM q WHERE i > 0 AND route NOT IN (SELECT route FROM q WHERE floor(x / 1024) >= 2)")
+@query("path_samples", "WITH r AS (SELECT o_orderkey AS route, CAST(o_custkey % 3000 AS DOUBLE) AS x1 FROM orders), s AS (SELECT route, x1, CAST(CASE WHEN x1 <= 64 THEN 0 ELSE floor(x1 / 64) END AS INT) AS n FROM r), p AS (SELECT route, unnest(range(0, n + 2)) AS i, n, x1 FROM s), q AS (SELECT route, i, CASE WHEN i > n THEN x1 ELSE x1 * (i / greatest(n, 1)) END AS x FROM p) SELECT route, CAST(i AS INT) AS i, round(x, 6) AS x FROM q WHERE i > 0 AND route NOT IN (SELECT route FROM q WHERE floor(x / 1024) >= 2)")
 def _(spark, sf):
     r = table(spark, sf, "orders").select(F.col("o_orderkey").alias("route"), *(F.lit(0.0).alias(n) for n in ("x0", "y0", "z0")), (F.col("o_custkey") % 3000).cast("double").alias("x1"), F.lit(0.0).alias("y1"), F.lit(0.0).alias("z1"))
     resident = spark.createDataFrame([(0, 0, 0), (1, 0, 0)], "tx long, ty long, tz long")
@@ -616,9 +689,9 @@ def _(spark, sf):
     return schema.Sandbox(table(spark, sf, "customer").withColumnRenamed("c_custkey", "entity"), frozenset({"c_acctbal"})).query("c_acctbal")
 
 
-@query("tier_reclassify", f"WITH {LOG}, n AS (SELECT comp, count(*) / 100.0 AS accesses FROM log WHERE comp <> 'view' OR tick < 20 GROUP BY comp) SELECT comp, CASE WHEN accesses >= 20 THEN 'HOT' WHEN accesses <= 5 THEN 'COLD' ELSE 'WARM' END AS tier FROM n")
+@query("tier_reclassify", f"WITH {LOG}, n AS (SELECT comp, count(*) / 100.0 AS accesses FROM log GROUP BY comp) SELECT comp, CASE WHEN accesses >= 20 THEN 'HOT' WHEN accesses <= 5 THEN 'COLD' ELSE 'WARM' END AS tier FROM n")
 def _(spark, sf):
-    n = log(spark, sf).where("comp <> 'view' OR tick < 20").groupBy("comp").agg((F.count("*") / 100).alias("accesses"))
+    n = log(spark, sf).groupBy("comp").agg((F.count("*") / 100).alias("accesses"))
     return devtools.tiers(n, 20, 5).select("comp", "tier")
 
 
@@ -638,3 +711,102 @@ def _(spark, sf):
 
     out = live.windowed(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "1 day", keys=("event_type",))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# --- further operators over whole tables ---
+
+
+@query("raycast_each", f"WITH {POS}, rays AS (SELECT entity AS ray, -1.0 AS ox, y AS oy, z AS oz FROM pos WHERE label = 4), h AS (SELECT ray, entity, (x - ox) AS l, (y-oy)*(y-oy)+(z-oz)*(z-oz) AS off FROM rays JOIN pos ON (y-oy)*(y-oy)+(z-oz)*(z-oz) <= 0.0025), k AS (SELECT ray, entity, l - sqrt(0.0025 - off) AS d FROM h WHERE l >= 0) SELECT ray, arg_min(entity, (round(d, 9), entity)) AS entity, round(min(d), 9) AS distance FROM k WHERE d BETWEEN 0 AND 2 GROUP BY ray")
+def _(spark, sf):
+    p = positions(spark, sf)
+    rays = p.where("label = 4").select(F.col("entity").alias("ray"), F.lit(-1.0).alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
+    return spatial.raycast_all(p, rays, 0.05, 2.0).select("ray", "entity", F.round("distance", 9).alias("distance"))
+
+
+@query("raycast_as_of", f"WITH {LOG}, {LAST.format(t=200)}, p AS (SELECT entity, max(CASE WHEN comp = 'click' THEN value END) AS x, max(CASE WHEN comp = 'view' THEN value END) AS y FROM last GROUP BY entity), h AS (SELECT entity, x - 0.0 AS l, (y-200)*(y-200) AS off FROM p WHERE x IS NOT NULL AND y IS NOT NULL) SELECT entity, round(l - sqrt(400 - off), 6) AS distance FROM h WHERE l >= 0 AND off <= 400 AND l - sqrt(400 - off) >= 0 ORDER BY l - sqrt(400 - off), entity LIMIT 1")
+def _(spark, sf):
+    p = wide(spark, sf, 200).select("entity", F.col("click").alias("x"), F.col("view").alias("y"), F.lit(0.0).alias("z")).dropna()
+    return spatial.raycast(p, (0, 200, 0), (1, 0, 0), 20.0).select("entity", F.round("distance", 6).alias("distance"))
+
+
+@query("ray_box", f"WITH {ITEMS}, t AS (SELECT entity, greatest(x, 0.0) AS a, x + 2 AS b, y - 30 AS y0, z - 5 AS z0 FROM items) SELECT entity, CASE WHEN y0 <= 0 AND y0 + 2 >= 0 AND z0 <= 0 AND z0 + 2 >= 0 AND a <= b THEN a ELSE -1.0 END AS distance FROM t")
+def _(spark, sf):
+    low = [F.col(n) for n in "xyz"]
+    return items(spark, sf).select("entity", g.ray_box((0, 30, 5), (1, 0, 0), low, [c + 2 for c in low]).alias("distance"))
+
+
+@query("boxes_meet", f"WITH {ITEMS} SELECT entity FROM items WHERE x <= 22 AND x + 1 >= 18 AND y <= 32 AND y + 1 >= 28 AND z <= 7 AND z + 1 >= 3")
+def _(spark, sf):
+    low = [F.col(n) for n in "xyz"]
+    return items(spark, sf).where(g.boxes_meet(low, [c + 1 for c in low], [18, 28, 3], [22, 32, 7])).select("entity")
+
+
+@query("fixed_point_functions", "WITH f AS (SELECT p_partkey, CAST(trunc(p_retailprice * 65536) AS BIGINT) AS a FROM part) SELECT p_partkey, CAST(floor(sqrt(CAST(a << 16 AS DOUBLE))) AS BIGINT) AS root, abs(-a) AS size, a + 65536 AS more, a - 65536 AS less FROM f")
+def _(spark, sf):
+    a = num.fix(F.col("p_retailprice"))
+    one = F.lit(num.ONE)
+    return table(spark, sf, "part").select("p_partkey", num.fix_sqrt(a).alias("root"), num.fix_abs(-a).alias("size"), num.fix_add(a, one).alias("more"), num.fix_sub(a, one).alias("less"))
+
+
+@query("tiles_in_radius", "WITH t AS (SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS tx, CAST(n_regionkey AS BIGINT) AS ty FROM nation) SELECT DISTINCT tx + a AS tx, ty + b AS ty, CAST(c AS BIGINT) AS tz FROM t, (SELECT unnest(range(-1, 2)) AS a), (SELECT unnest(range(-1, 2)) AS b), (SELECT unnest(range(-1, 2)) AS c)")
+def _(spark, sf):
+    t = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("tx"), F.col("n_regionkey").cast("long").alias("ty"), F.lit(0).cast("long").alias("tz")).distinct()
+    return nav.tiles_in_radius(t, 1)
+
+
+@query("nav_linked", "WITH n AS (SELECT p_partkey AS node, p_size % 10 IN (2, 3) AS blocked FROM part), e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem) SELECT DISTINCT ps.a, ps.b FROM (SELECT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity > 40) ps JOIN e ON ps.a = e.a AND ps.b = e.b WHERE ps.a IN (SELECT node FROM n WHERE NOT blocked) AND ps.b IN (SELECT node FROM n WHERE NOT blocked)")
+def _(spark, sf):
+    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 10).isin(2, 3).alias("blocked"))
+    ties = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), "l_quantity")
+    return nav.linked(ties.where("l_quantity > 40").select("a", "b").distinct(), nodes, ties)
+
+
+@query("access_decay", f"WITH {LOG} SELECT comp, round(sum(pow(0.5, 719 - tick)), 9) AS accesses FROM log WHERE tick <= 719 GROUP BY comp")
+def _(spark, sf):
+    return devtools.decayed(log(spark, sf), 719).select("comp", F.round("accesses", 9).alias("accesses"))
+
+
+@query("health_profile", f"WITH {LOG}, {LAST.format(t=5)}, {WIDE}, a AS (SELECT {SIG} AS s, count(*) AS n FROM w GROUP BY 1), o AS (SELECT count(*) AS n, count(*) FILTER (n BETWEEN 1 AND 7) AS sparse, avg(CASE WHEN n % 256 = 0 THEN 1.0 ELSE (floor(n / 256) + (n % 256) / 256.0) / (floor(n / 256) + 1) END) AS occupancy FROM a) SELECT n, sparse, round(occupancy, 9) AS occupancy, round((8 + 63) / 64.0, 9) AS lines, round((1 - sparse / n) * 60 + 40 / ((8 + 63) / 64.0), 9) AS health FROM o")
+def _(spark, sf):
+    strides = spark.createDataFrame([(c, 8) for c in COMPS], "comp string, stride int")
+    out = devtools.profile(devtools.archetypes(wide(spark, sf, 5)), strides)
+    return out.select("n", "sparse", F.round("occupancy", 9).alias("occupancy"), F.round("lines", 9).alias("lines"), F.round("health", 9).alias("health"))
+
+
+@query("subscription_following", f"WITH {POS}, {SUBS} SELECT sub, round(cx + x, 9) AS cx, round(cy + y, 9) AS cy, round(cz + z, 9) AS cz FROM subs JOIN pos ON pos.entity = subs.sub")
+def _(spark, sf):
+    p = positions(spark, sf)
+    subs = subscriptions(p, 0.1).withColumn("owner", F.col("sub").cast("long"))
+    moved = interest.following(subs, p)
+    return moved.select("sub", *(F.round("c" + n, 9).alias("c" + n) for n in "xyz"))
+
+
+@query("wide_update_sandbox", "SELECT c_custkey AS entity, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_acctbal IS NOT NULL")
+def _(spark, sf):
+    box = schema.Sandbox(table(spark, sf, "customer").withColumnRenamed("c_custkey", "entity"), writes=frozenset({"c_acctbal"}))
+    return box.update(F.col("c_acctbal") < 0, c_acctbal=F.lit(0.0)).query("c_acctbal")
+
+
+@query("gql_create_insert_offset", "SELECT * FROM (VALUES (2, 'b'), (3, 'c')) t(k, name)")
+def _(spark, sf):
+    e = Engine(spark)
+    for text in ("CREATE TABLE t (k INT, name TEXT)", "INSERT INTO t (k, name) VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, 'd')"):
+        e.query(text)
+    return e.query("SELECT k, name FROM t ORDER BY k LIMIT 2 OFFSET 1")
+
+
+@query("blackboard_numbers", "SELECT user_id AS agent, event_id AS seq, CASE event_type WHEN 'click' THEN value WHEN 'view' THEN CAST(event_id AS DOUBLE) WHEN 'error' THEN CAST(value > 250 AS INT)::DOUBLE END AS number FROM events")
+def _(spark, sf):
+    from ..operators.agents import as_number
+
+    kind = F.when(F.col("event_type") == "click", "float").when(F.col("event_type") == "view", "int").when(F.col("event_type") == "error", "bool")
+    return table(spark, sf, "events").select(F.col("user_id").alias("agent"), F.col("event_id").alias("seq"), as_number(kind, F.col("value"), F.col("event_id"), F.col("value") > 250).alias("number"))
+
+
+@query("float_codec_round_trip", "SELECT vec_id, count(*) AS n, max(abs(v - round(v / (m / 32767)) * (m / 32767))) <= max(m) / 32767 AS close FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, list_max([abs(CAST(x AS DOUBLE)) FOR x IN embedding]) AS m FROM embeddings) GROUP BY vec_id")
+def _(spark, sf):
+    t = table(spark, sf, "embeddings")
+    back = delta.restore_floats(delta.quantize_floats(F.col("embedding")))
+    most = F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double"))))
+    error = F.array_max(F.zip_with("embedding", back, lambda a, b: F.abs(a.cast("double") - b)))
+    return t.select("vec_id", F.size("embedding").cast("long").alias("n"), (error <= most / 32767).alias("close"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that suit every operator here; a session may override any of them.
 DEFAULTS = {
@@ -39,3 +40,17 @@ def ship(spark: SparkSession) -> None:
             out.write(path, Path("stratalog") / path.relative_to(root))
     sc.addPyFile(target)
     sc._stratalog_shipped = True
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """df written to the folder that all executors share (spark.checkpoint.dir) and read back, so its lineage ends there;
+    a temporary folder serves local sessions in which none is set."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.gettempdir() + "/stratalog-shared"
+    path = f"{where.rstrip('/')}/stratalog/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

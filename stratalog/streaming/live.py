@@ -18,25 +18,38 @@ EVENTS = "sub long, entity long, tick long, event string"
 def enter_leave(moves: DataFrame, subs: DataFrame) -> DataFrame:
     """Events of a stream of moves (entity, tick, x, y, z) against spherical subscriptions (sub, cx, cy, cz, r).
 
-    The volumes, a static table, are sent to all tasks by Spark if they are small; a flag a (sub, entity) is the state.
-    Only pairs whose bounding cube is touched, or that were inside, change; moves out of all volumes are needed for the
-    leaves, so the state is asked for every pair of a move.
+    Volumes, a static table, lie in cells about twice as wide as they are, at most eight each, by powers of two, so wide ones don't
+    crowd the cells of small ones; a move meets those of its cells only, by an equi-join. A move then has the list of
+    volumes that it is inside, and the state of an entity is the list of its last move.
     """
-    at = [F.col(n) for n in "xyz"]
-    flagged = moves.join(subs, F.lit(True)).select("sub", "entity", "tick", g.in_sphere(at, [F.col("cx"), F.col("cy"), F.col("cz")], F.col("r")).alias("inside"))
+    levels = [r.level for r in _levelled(subs).select("level").distinct().collect()]  # some tens: exponents of doubles
+    cells = _levelled(subs)
+    for n in "xyz":
+        low, high = (F.floor((F.col("c" + n) + sign * F.col("r")) / F.pow(F.lit(2.0), "level")).cast("long") for sign in (-1, 1))
+        cells = cells.withColumn("__" + n, F.explode(F.sequence(low, high)))
+    rows = moves.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array(F.lit(0))))
+    rows = rows.withColumns({"__" + n: F.floor(F.col(n) / F.pow(F.lit(2.0), "level")).cast("long") for n in "xyz"})
+    met = rows.join(cells, ["level", "__x", "__y", "__z"], "left")
+    inside = g.in_sphere([F.col(n) for n in "xyz"], [F.col("cx"), F.col("cy"), F.col("cz")], F.col("r"))
+    flagged = met.select("entity", "tick", F.when(inside, F.col("sub")).alias("sub"))
 
     def walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        inside = state.get[0] if state.exists else False
+        inside = set(state.get[0]) if state.exists else set()
         out = []
-        rows = pd.concat(list(frames)).sort_values("tick")
-        for tick, now in zip(rows.tick, rows.inside):
-            if now != inside:
-                out.append((*key, tick, "enter" if now else "leave"))
-                inside = now
-        state.update((bool(inside),))
+        rows = pd.concat(list(frames))
+        for tick, own in rows.groupby("tick", sort=True):
+            now = {int(s) for s in own["sub"].dropna()}
+            out += [(s, *key, tick, "leave") for s in sorted(inside - now)] + [(s, *key, tick, "enter") for s in sorted(now - inside)]
+            inside = now
+        state.update((sorted(inside),))
         yield pd.DataFrame(out, columns=["sub", "entity", "tick", "event"])
 
-    return flagged.groupBy("sub", "entity").applyInPandasWithState(walk, EVENTS, "inside boolean", "append", GroupStateTimeout.NoTimeout)
+    return flagged.groupBy("entity").applyInPandasWithState(walk, EVENTS, "inside array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def _levelled(subs: DataFrame) -> DataFrame:
+    """Volumes with the power of two that their diameter doesn't exceed."""
+    return subs.withColumn("level", F.ceil(F.log2(F.greatest(2 * F.col("r"), F.lit(1e-6)))).cast("int"))
 
 
 def rate_limited(updates: DataFrame) -> DataFrame:

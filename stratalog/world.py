@@ -7,7 +7,6 @@ doubles here; typed components are columns of wide tables made by ``operators.te
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,56 +17,68 @@ from .operators import graph, temporal
 COMPONENTS = "tick long, seq long, entity long, comp string, value double"
 LIFECYCLE = "tick long, seq long, entity long, prefab string, spawned boolean"
 EDGES = "tick long, seq long, src long, kind int, dst long, payload double, op string"
+SCHEMAS = (COMPONENTS, LIFECYCLE, EDGES)
+#: Rows written one by one that are kept until they become part of a log.
+PENDING = 10_000
 
 
-@dataclass(frozen=True)
 class World:
-    components: DataFrame
-    lifecycle: DataFrame
-    edges: DataFrame
-    tick: int = 0
-    seq: int = 0
+    """Writes only append rows; whether one counts (a spawn of one who lives, a write to one who doesn't, an edge between
+    such) is decided where states are read, so a log's plan grows by a union each ``PENDING`` rows and never by a join."""
+
+    def __init__(self, components: DataFrame, lifecycle: DataFrame, edges: DataFrame, tick: int = 0, seq: int = 0, pending: tuple = ((), (), ())):
+        self.logs, self.tick, self.seq, self.pending = (components, lifecycle, edges), tick, seq, pending
+        self._whole: dict[int, DataFrame] = {}
 
     @staticmethod
     def empty(spark: SparkSession) -> World:
-        return World(*(spark.createDataFrame([], s) for s in (COMPONENTS, LIFECYCLE, EDGES)))
+        return World(*(spark.createDataFrame([], s) for s in SCHEMAS))
+
+    def _log(self, k: int) -> DataFrame:
+        if k not in self._whole:
+            log = self.logs[k]
+            self._whole[k] = log.unionByName(log.sparkSession.createDataFrame(list(self.pending[k]), SCHEMAS[k])) if self.pending[k] else log
+        return self._whole[k]
+
+    components = property(lambda self: self._log(0))
+    lifecycle = property(lambda self: self._log(1))
+    edges = property(lambda self: self._log(2))
 
     def at(self, tick: int) -> World:
         """The same world with its clock at a tick, never earlier than it stands."""
-        return replace(self, tick=max(tick, self.tick))
+        return World(*self.logs, max(tick, self.tick), self.seq, self.pending)
 
     def advance(self, ticks: int = 1) -> World:
-        return replace(self, tick=self.tick + ticks)
+        return self.at(self.tick + ticks)
+
+    def _with(self, k: int, rows: list[tuple]) -> World:
+        new = tuple((self.tick, self.seq + i, *r) for i, r in enumerate(rows))
+        pending = tuple(own + new if i == k else own for i, own in enumerate(self.pending))
+        if len(pending[k]) <= PENDING:
+            return World(*self.logs, self.tick, self.seq + len(rows), pending)
+        logs = [log.unionByName(log.sparkSession.createDataFrame(list(own), schema)) if own else log for log, own, schema in zip(self.logs, pending, SCHEMAS)]
+        return World(*logs, self.tick, self.seq + len(rows))
 
-    def _rows(self, schema: str, rows: list[tuple]) -> DataFrame:
-        spark = self.components.sparkSession
-        return spark.createDataFrame([(self.tick, self.seq + i, *r) for i, r in enumerate(rows)], schema)
+    def appended(self, components: DataFrame | None = None, lifecycle: DataFrame | None = None, edges: DataFrame | None = None, seqs: int = 1) -> World:
+        """The world with tables of rows, which use up so many numbers."""
+        logs = [own if more is None else own.unionByName(more) for own, more in zip((self._log(k) for k in range(3)), (components, lifecycle, edges))]
+        return World(*logs, self.tick, self.seq + seqs)
 
     def spawn(self, *entities: int, prefab: str | None = None) -> World:
         """Idempotent: an entity that lives isn't made anew."""
-        rows = self._rows(LIFECYCLE, [(e, prefab, True) for e in entities])
-        rows = rows.join(self.live().select("entity"), "entity", "left_anti").select(self.lifecycle.columns)
-        return replace(self, lifecycle=self.lifecycle.unionByName(rows), seq=self.seq + len(entities))
+        return self._with(1, [(e, prefab, True) for e in entities])
 
     def despawn(self, *entities: int) -> World:
         """Unknown entities are passed over."""
-        rows = self._rows(LIFECYCLE, [(e, None, False) for e in entities])
-        rows = rows.join(self.live().select("entity"), "entity", "left_semi").select(self.lifecycle.columns)
-        return replace(self, lifecycle=self.lifecycle.unionByName(rows), seq=self.seq + len(entities))
+        return self._with(1, [(e, None, False) for e in entities])
 
     def write(self, *rows: tuple[int, str, float]) -> World:
-        """Components (entity, comp, value); writes to entities that don't live are left out."""
-        new = self._rows(COMPONENTS, list(rows))
-        new = new.join(self.live().select("entity"), "entity", "left_semi").select(self.components.columns)
-        return replace(self, components=self.components.unionByName(new), seq=self.seq + len(rows))
+        """Components (entity, comp, value); writes to entities that don't live are never seen."""
+        return self._with(0, list(rows))
 
     def relate(self, *rows: tuple[int, int, int, float], op: str = "add") -> World:
-        """Edges (src, kind, dst, payload), both ends alive; op "remove" leaves a tombstone."""
-        new = self._rows(EDGES, [(*r, op) for r in rows])
-        live = self.live().select("entity")
-        for end in ("src", "dst"):
-            new = new.join(live.withColumnRenamed("entity", end), end, "left_semi")
-        return replace(self, edges=self.edges.unionByName(new.select(self.edges.columns)), seq=self.seq + len(rows))
+        """Edges (src, kind, dst, payload), seen while both ends live; op "remove" leaves a tombstone."""
+        return self._with(2, [(*r, op) for r in rows])
 
     def unrelate(self, *rows: tuple[int, int, int]) -> World:
         return self.relate(*((*r, None) for r in rows), op="remove")

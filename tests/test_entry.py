@@ -34,7 +34,7 @@ def test_flagship(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["as_of_tick", "scrub_series", "living_state", "fold_last_write_wins", "distance_join", "subscriber_delta_lod", "first_state_difference", "gql_set_operations"])
+@pytest.mark.parametrize("name", ["as_of_tick", "scrub_series", "living_state", "fold_last_write_wins", "distance_join", "subscriber_delta_lod", "first_state_difference", "gql_set_operations", "delta_capture", "delta_apply", "replay_state", "world_writes", "despawn_cleans_edges", "causal_trace", "state_hash", "lod_rate_limit"])
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from stratalog.plans import catalog
@@ -51,17 +51,11 @@ def test_queries_match_their_sql(spark, name):
     assert [key(r) for r in mine] == [key(r) for r in rows]
 
 
-@needs_data
-@pytest.mark.parametrize("name", ["relation_out_all", "path_samples_all"])
-def test_whole_orders_match_their_sql(spark, name):
-    test_queries_match_their_sql(spark, name)
-
-
 @needs_data
 def test_relations_and_paths_take_all_orders(spark):
     from stratalog.plans import catalog
 
     orders = catalog.table(spark, SF, "orders")
-    assert catalog.queries()["relation_out_all"](spark, SF).count() == orders.count()
-    routes = catalog.queries()["path_samples_all"](spark, SF).select("route").distinct()
+    assert catalog.queries()["relation_out"](spark, SF).count() == orders.count()
+    routes = catalog.queries()["path_samples"](spark, SF).select("route").distinct()
     assert routes.count() == orders.where("o_custkey % 3000 < 2048").count()

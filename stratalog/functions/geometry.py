@@ -118,13 +118,17 @@ def ray_sphere(origin: Sequence[float], direction: Sequence[float], center: Poin
 
 def ray_box(origin: Sequence[float], direction: Sequence[float], low: Point, high: Point) -> Column:
     """Slab test: distance at which the ray meets the box, 0 from inside, -1: missed."""
-    first, last = [F.lit(0.0)], [F.lit(math.inf)]
+    first, last, beside = [F.lit(0.0)], [F.lit(math.inf)], F.lit(False)
     for o, d, a, b in zip(origin, direction, low, high):
-        s, t = ((col(x) - F.lit(float(o))) / (d or 1e-30) for x in (a, b))
+        if d == 0:  # along a slab: inside it all the way, or never
+            beside = beside | (col(a) > F.lit(float(o))) | (col(b) < F.lit(float(o)))
+            continue
+        s, t = ((col(x) - F.lit(float(o))) / float(d) for x in (a, b))
         first.append(F.least(s, t))
         last.append(F.greatest(s, t))
-    enter, leave = F.greatest(*first), F.least(*last)
-    return F.when(enter <= leave, enter).otherwise(F.lit(-1.0))
+    enter = F.greatest(*first) if len(first) > 1 else first[0]
+    leave = F.least(*last) if len(last) > 1 else last[0]
+    return F.when((enter <= leave) & ~beside, enter).otherwise(F.lit(-1.0))
 
 
 def sees(eye: Point, forward: Point, target: Point, reach, cos_half) -> Column:

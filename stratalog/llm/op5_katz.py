@@ -17,7 +17,7 @@ with a start mark and ends with an end, which is a token.
 
 N-grams of a chunk are counted before they are sent. A context with more than ``SALTED`` occurrences has its n-grams
 spread over several buckets, whose answers are added up, so no bucket grows with a hot context. Buckets grow in number with
-the corpus, so a chunk's row for one bucket holds about chunk x bucket / corpus tokens: 80,000 at 0.5 GB, 1,300 at 30 GB.
+the corpus, so a chunk's row for one bucket holds about chunk x bucket / corpus tokens: 30,000 at 0.5 GB, 500 at 30 GB.
 Beyond some terabytes ``chunk`` and ``bucket`` should be raised with the executors' memory (about 40 bytes a byte of chunk).
 Words are known by 64-bit hashes, contexts by those of their word numbers.
 
@@ -42,11 +42,11 @@ from . import common
 from .texts import BLOCK, SOLID, U, Words, blocks, mixed
 
 ORDER = 3
-CHUNK = 14 << 20
+CHUNK = 10 << 20
 K = 5
 SALTED = 1_000_000
 #: Words, or tokens whose n-grams are in a bucket, all chunks' together.
-BUCKET = 3_000_000
+BUCKET = 1_500_000
 END = 2
 #: Bytes of a number as written: word numbers and counts stay below 2**48.
 WIDE = 6

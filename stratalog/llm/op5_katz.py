@@ -512,9 +512,10 @@ def evaluate(wheres: list[str], n_words: int, n_grams: int, start: int, salted:
                     back = np.where(total > 0, (1 - (total - gone) / size) / (1 - mass / shorter_size[shorter]), 1.0)
                 seen = np.zeros(len(c.tokens), np.int64)
                 seen[level.at >= 0] = level.counts[level.at[level.at >= 0]]
-                known = level.context >= 0
-                context = np.where(known, level.context, 0)
-                chance = np.where(seen > 0, discount.of(seen) / size[context], np.where(known, back[context] * chance, chance))
+                # of no known context: as with the shorter one; a chunk may have no context at all
+                known = np.flatnonzero(level.context >= 0)
+                context, often = level.context[known], seen[known]
+                chance[known] = np.where(often > 0, discount.of(often) / size[context], back[context] * chance[known])
                 shorter_size = size
             logs = np.log10(np.maximum(chance, 1e-300))
             base = np.log10((counts + 1) / (unigram.n + unigram.types + 1))

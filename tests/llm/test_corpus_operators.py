@@ -134,6 +134,19 @@ def test_katz_on_nothing(docs):
     assert rows[0].train_tokens == 0 and rows[0].n_known == 0 and rows[0].score == 0
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_in_chunks_without_contexts(docs, order):
+    texts = ["a b a b c", "unseen words only", "a b c", "ab", None]
+    held = [False, True, False, True, False]
+    rows = op5.scores(docs(texts), F.col("doc_id").isin(1, 3), order=order, chunk=1).collect()
+    want, _ = katz(list(zip(held, texts)), order)
+    assert len(rows) == len(texts)
+    for r in rows:
+        n, known, base, score = want[r.doc_id]
+        assert (r.n_tokens, r.n_known) == (n, known)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
+
+
 PAGES = [(1, "http://a/ü\n", "x" * 2000), (5, None, "x" * 2000), (3, "http://c", "x" * 2000), (4, "d", None), (6, "e", ""), (7, "f", "short"), (8, "g", "short"), (None, "h", "y" * 1500), (9, "i", "é" * 600), (9, "i", "é" * 600)]
 
 

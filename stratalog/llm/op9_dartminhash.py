@@ -39,6 +39,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 CROWD, UNIT, SPREAD = 64, 200_000, 4096
+#: Numbers in a table of a unit's elements by a stretch of its members; memory only, no result depends on it.
+WORK = 4 << 20
 _STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -105,6 +107,7 @@ def sign(size: int, bands: int, rows: int):
                 node = Rolling(words.hashes())(words.first[:-1], words.first[1:]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * bands + 1, bands, dtype=np.int32)), pa.array(band.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(node), pa.array(np.diff(at)), lists], ["doc_id", "k2", "node", "n", "bands"])
+        common.trimmed()
 
     return run
 
@@ -169,14 +172,14 @@ def compare_blocks(threshold: float):
                 x = label[x]
             return x
 
-        step = max(1, min(64, (32 << 20) // max(1, len(token))))
+        step = max(1, min(64, WORK // max(1, len(token), 4 * len(rows))))
         for s in range(0, len(rows), step):
             e = min(len(rows), s + step)
             has = np.zeros((int((often > 1).sum()), e - s), np.uint32)
             has[token[first[s] : first[e]], owner[first[s] : first[e]] - s] = 1
             same = np.zeros((len(rows), e - s), np.int64)
             if len(filled):
-                same[filled] = np.add.reduceat(has[token], first[filled], 0)
+                same[filled] = np.add.reduceat(has[token], first[filled], 0, np.uint32)  # else a copy in 64 bits is made first
             near = same >= threshold * (size[:, None] + size[None, s:e] - same)
             near &= (same > 0) & (root[:, None] != root[None, s:e])
             if cross:
@@ -194,9 +197,12 @@ def compare_blocks(threshold: float):
                 if held and row[:3] != held[0][:3]:
                     yield solve(held)
                     held = []
+                    common.trimmed()
                 held.append(row)
         if held:
             yield solve(held)
+            del held
+            common.trimmed()
 
     return run
 

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -147,6 +148,27 @@ def test_katz_in_chunks_without_contexts(docs, order):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
 
 
+def test_blocks_of_a_crowded_band_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 130_000, 3000)).astype(np.uint64) for _ in range(128)]
+    for i in range(0, 128, 8):
+        sets[i + 3] = np.unique(np.r_[sets[i][150:], sets[i + 3][:150]])
+    rows = [(1, 0, 1, i % 2, i, i, x.tobytes()) for i, x in enumerate(sets)]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["band", "i", "j", "mine", "node", "root", "units"])
+    tracemalloc.start()
+    try:
+        found = [(a, b) for out in op9.compare_blocks(0.8)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    near = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    assert sorted(found) == [(j, i) for j in range(128) for i in range(j) if (i + j) % 2 and near(sets[i], sets[j])] and len(found) == 16
+    assert peak < 100 << 20
+
+
 PAGES = [(1, "http://a/ü\n", "x" * 2000), (5, None, "x" * 2000), (3, "http://c", "x" * 2000), (4, "d", None), (6, "e", ""), (7, "f", "short"), (8, "g", "short"), (None, "h", "y" * 1500), (9, "i", "é" * 600), (9, "i", "é" * 600)]
 
 

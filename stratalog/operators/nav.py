@@ -14,6 +14,8 @@ from ..functions.numeric import Stream, chain_seed, first_draws
 
 TILE = 1024.0
 STEP = 64.0
+#: Resident tiles that are sent to all tasks; more are joined by tile.
+BROADCAST = 10_000
 
 
 def tile(*xyz) -> list[Column]:
@@ -32,20 +34,32 @@ def straight_paths(routes: DataFrame, resident: DataFrame, step: float = STEP) -
 
     Returns the points (route, i, x, y, z) of passable routes, the last one at their end, and the missing tiles that the
     others ask to load (the first one on the way): a route whose ends aren't both resident asks for such an end.
+
+    Few resident tiles (counted first) are sent to every task; more meet the routes by tile, once a visit of a tile. The
+    other routes are taken out before points are made, so routes are shuffled and sorted, not their points.
     """
-    d = g.distance([F.col(n) for n in ("x0", "y0", "z0")], [F.col(n) for n in ("x1", "y1", "z1")])
-    n = F.when(d <= step, 0).otherwise(F.floor(d / step)).cast("int")
-    at = routes.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") + 1)))
-    t = F.when(F.col("i") > F.col("n"), 1.0).otherwise(F.col("i") / F.greatest(F.col("n"), F.lit(1)))
-    at = at.withColumns({v: F.col(v + "0") + (F.col(v + "1") - F.col(v + "0")) * t for v in "xyz"})
-    at = at.withColumns(dict(zip(("tx", "ty", "tz"), tile(*(F.col(v) for v in "xyz")))))
-    known = resident.select("tx", "ty", "tz", F.lit(True).alias("here")).distinct()
-    at = at.join(known, ["tx", "ty", "tz"], "left")
-    missing = at.where("here is null")
+    names = ["tx", "ty", "tz"]
+    i, n = F.col("i"), F.col("n")
+    d = g.distance([F.col(v) for v in ("x0", "y0", "z0")], [F.col(v) for v in ("x1", "y1", "z1")])
+
+    def sampled(some: DataFrame) -> DataFrame:
+        last = F.when(d <= step, 0).otherwise(F.floor(d / step)).cast("int")
+        return some.withColumn("n", last).withColumn("i", F.explode(F.sequence(F.lit(0), n + 1)))
+
+    def place(k: Column) -> list[Column]:
+        t = F.when(k > n, 1.0).otherwise(k / F.greatest(n, F.lit(1)))
+        return [F.col(v + "0") + (F.col(v + "1") - F.col(v + "0")) * t for v in "xyz"]
+
+    entered = (i == 0) | (F.struct(*tile(*place(i))) != F.struct(*tile(*place(i - 1))))
+    at = sampled(routes).select("route", "n", "i", *(c.alias(v) for v, c in zip(names, tile(*place(i)))), entered.alias("entered"))
+    known = resident.select(*names).distinct()
+    few = known.limit(BROADCAST + 1).count() <= BROADCAST
+    missing = at.where("entered or i > n").join(F.broadcast(known) if few else known, names, "left_anti")
     # ends are asked for first, then what lies between, in order
-    rank = F.struct(F.when(F.col("i") == 0, 0).when(F.col("i") > F.col("n"), 1).otherwise(2).alias("a"), "i")
-    wanted = missing.groupBy("route").agg(F.min_by(F.struct("tx", "ty", "tz"), rank).alias("t")).select("route", "t.*")
-    points = at.where("i > 0").join(wanted.select("route"), "route", "left_anti").select("route", "i", "x", "y", "z")
+    rank = F.struct(F.when(i == 0, 0).when(i > n, 1).otherwise(2).alias("a"), "i")
+    wanted = missing.groupBy("route").agg(F.min_by(F.struct(*names), rank).alias("t")).select("route", "t.*")
+    passable = routes.join(missing.where("entered").select("route"), "route", "left_anti")
+    points = sampled(passable).where("i > 0").select("route", "i", *(c.alias(v) for v, c in zip("xyz", place(i))))
     return points, wanted
 
 

@@ -168,6 +168,62 @@ def test_navigation(spark):
     assert nav.lane_best(rows, "a", "b").first().lane == 1
 
 
+def shuffled_rows(df):
+    """Rows written to shuffles by the run of df, which must have been collected."""
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        written = plan.metrics().get("shuffleRecordsWritten")
+        below = plan.children()
+        return (written.get().value() if written.isDefined() else 0) + sum(walk(below.apply(i)) for i in range(below.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_paths_shuffle_routes_not_points(spark, monkeypatch, few):
+    monkeypatch.setattr(nav, "BROADCAST", few, raising=False)
+    random.seed(9)
+    ends = [[random.uniform(-600, 2600) for _ in range(6)] for _ in range(150)]
+    ends += [[5.0] * 6, [0.0, 0, 0, 64, 0, 0], [0.0, 0, 0, 1024, 0, 0], [-1.0, 0, 0, 1, 0, 0], [900.0, 900, 900, 1100, 1100, 1100]]
+    ends += [[0.0, 0, 0, 1e5, 0, 0], [None, 0.0, 0, 1, 1, 1]]
+    routes = [(k, *e) for k, e in enumerate(ends)]
+    routes += [(151, 5.0, 5.0, 5.0, 9e3, 5.0, 5.0), (None, 1.0, 1.0, 1.0, 2.0, 2.0, 2.0), (None, 1.0, 1.0, 1.0, 9e3, 2.0, 2.0)]
+    random.seed(2)
+    resident = {(x, y, z) for x in range(-1, 3) for y in range(-1, 3) for z in range(-1, 3) if random.random() < 0.8} | {(0, 0, 0), (1, 0, 0)}
+    want, asked = [], {}
+    for route, *e in routes:
+        if None in e:
+            continue
+        a, b = e[:3], e[3:]
+        d = math.sqrt(sum((p - q) ** 2 for p, q in zip(a, b)))
+        n = 0 if d <= 64 else math.floor(d / 64)
+        for i in range(n + 2):
+            t = 1.0 if i > n else i / max(n, 1)
+            at = [p + (q - p) * t for p, q in zip(a, b)]
+            tile = tuple(math.floor(v / 1024) for v in at)
+            if tile not in resident:
+                rank = (0 if i == 0 else 1 if i > n else 2, i)
+                asked[route] = min(asked.get(route, (rank, tile)), (rank, tile))
+            if i > 0:
+                want.append((route, i, *at))
+    # a repeated route is passable if all its rows are; none is told from another by a null
+    want = [w for w in want if w[0] is None or w[0] not in asked]
+    assert len({w[0] for w in want}) > 20 and len(asked) > 50
+    rows = [(route, *(v if v is None else float(v) for v in e)) for route, *e in routes]
+    told = spark.createDataFrame(rows, "route long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    points, wanted = nav.straight_paths(told, spark.createDataFrame(sorted(resident), "tx long, ty long, tz long"))
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted(map(tuple, points.collect()), key=key) == sorted(want, key=key)
+    assert {r.route: tuple(r)[1:] for r in wanted.collect()} == {r: tile for r, (_, tile) in asked.items()}
+    # points and their tiles: 1,000s; routes, and at most the tiles that each enters
+    assert shuffled_rows(points) < (3 if few else 12) * len(routes) + 2 * len(resident)
+
+
 def test_profile(spark):
     counts = spark.createDataFrame([(1, 300), (2, 5), (3, 256), (0, 0)], "signature long, entities long")
     got = {r.signature: r.o for r in counts.withColumn("o", devtools.occupancy(F.col("entities"))).collect()}
